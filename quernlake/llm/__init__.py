@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from types import ModuleType
 
-_MODULES = ()
+_MODULES = ("forms", "splitting")
 
 
 def query_modules() -> list[ModuleType]:
