@@ -62,8 +62,7 @@ def _attempt(text: str, pieces: int, limit: int, overlap: int, by_message: bool,
         if near:
             end = at[max(near, key=lambda k: (strength[k], -abs(at[k] - target)))]
         else:
-            k = bisect.bisect_right(at, most) - 1
-            end = at[k] if k >= 0 and at[k] > done else _whole_character(text, min(most, max(int(target), done + 1)), done)
+            end = _whole_character(text, min(most, max(int(target), done + 1)), done)
         spans.append((start, end))
         if by_message:
             k = bisect.bisect_left(messages, end)
