@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from types import ModuleType
 
-_MODULES = ("forms", "splitting", "tokens", "mixing")
+_MODULES = ("splitting", "conversations", "forms", "tokens", "mixing")
 
 
 def query_modules() -> list[ModuleType]:
