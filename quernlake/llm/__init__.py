@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from types import ModuleType
 
-_MODULES = ("splitting", "conversations", "personal", "forms", "tokens", "mixing")
+_MODULES = ("splitting", "conversations", "personal", "forms", "variants", "tokens", "mixing")
 
 
 def query_modules() -> list[ModuleType]:
