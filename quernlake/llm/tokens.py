@@ -150,26 +150,25 @@ def encode_corpus(documents: DataFrame, vocabulary: str | None = None) -> DataFr
     common = words.filter(F.octet_length("word") <= 64).orderBy(F.desc("n"), "word").limit(HEAD_WORDS)
     head = [(r.word, list(r.ids)) for r in common.select("word", "ids").collect()]
     literal = _literal_map(head, "array<int>")
-    known = docs.withColumn("words", F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0)))
-    found = F.transform("words", lambda w, i: F.struct(i.alias("pos"), _look_up(literal, w).alias("ids"), w.alias("word")))
-    known = known.select("doc_id", F.xxhash64("text").alias("h"), F.coalesce(found, F.array()).alias("found"))
-    rare = known.select("doc_id", "h", F.explode(F.filter("found", lambda x: x["ids"].isNull())).alias("x"))
+    # The literal takes part in one written step only: all else goes on from ids and the words they lack.
+    known = docs.select("doc_id", F.xxhash64("text").alias("h"), F.coalesce(F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0)), F.array()).alias("words"))
+    known = known.withColumn("ids", F.transform("words", lambda w: _look_up(literal, w)))
+    lacking = F.transform("words", lambda w, i: F.struct(i.alias("pos"), F.when(F.get("ids", i).isNull(), w).alias("word")))
+    known = cut(known.select("doc_id", "h", "ids", F.filter(lacking, lambda x: x["word"].isNotNull()).alias("lacking")), "known")
     rest = (
-        rare.distinct()
+        known.select("doc_id", "h", F.explode("lacking").alias("x"))
+        .distinct()
         .select("doc_id", "h", "x.pos", "x.word")
         .join(words.select("word", "ids"), "word")
         .groupBy("doc_id", "h")
         .agg(F.collect_list(F.struct("pos", "ids")).alias("rest"))
     )
-    entry = "array<struct<pos:int,ids:array<int>>>"
-    present = F.transform(F.filter("found", lambda x: x["ids"].isNotNull()), lambda x: F.struct(x["pos"], x["ids"]))
-    whole = F.array_sort(F.concat(present.cast(entry), F.coalesce(F.col("rest").cast(entry), F.array().cast(entry))))
-    ids = F.flatten(F.transform(whole, lambda x: x["ids"]))
+    present = F.filter(F.transform("ids", lambda x, i: F.struct(i.alias("pos"), x.alias("ids"))), lambda x: x["ids"].isNotNull())
+    ids = F.flatten(F.transform(F.array_sort(F.concat(present, F.coalesce("rest", F.array()))), lambda x: x["ids"]))
+    complete = known.filter(F.size("lacking") == 0).select("doc_id", F.flatten("ids").alias("ids"))
     # A doc_id that comes with several texts keeps them apart by the hash.
-    done = known.filter(F.forall("found", lambda x: x["ids"].isNotNull()))
-    open_ = known.filter(F.exists("found", lambda x: x["ids"].isNull()))
-    complete = done.select("doc_id", F.flatten(F.transform("found", lambda x: x["ids"])).alias("ids"))
-    return complete.unionByName(open_.join(rest, ["doc_id", "h"], "left").select("doc_id", ids.alias("ids")))
+    lacked = known.filter(F.size("lacking") > 0).join(rest, ["doc_id", "h"], "left")
+    return complete.unionByName(lacked.select("doc_id", ids.alias("ids")))
 
 
 def decode_ids(ids: Column, vocabulary: str | None = None) -> Column:

@@ -100,6 +100,17 @@ class Profile:
         self.tokens: list[tuple[str, str]] = []  # (given, family), in either order
         self.initial: list[tuple[str, str]] = []  # (initial, family) with no given name
         self.pet: list[tuple[str, str]] = []  # (start of the given name, family)
+        self.swaps: list[str] = []  # forms with two syllables of Hangul the other way round
+
+
+def _turned(words: list[str]) -> list[list[str]]:
+    """The words with any two neighbouring syllables of Hangul in one of them exchanged."""
+    out = []
+    for i, w in enumerate(words):
+        for k in range(len(w) - 1):
+            if "가" <= w[k] <= "힣" and "가" <= w[k + 1] <= "힣" and w[k] != w[k + 1]:
+                out.append([*words[:i], w[:k] + w[k + 1] + w[k] + w[k + 2:], *words[i + 1:]])
+    return out
 
 
 def _organisation(text: str, p: Profile) -> None:
@@ -129,6 +140,7 @@ def _organisation(text: str, p: Profile) -> None:
                     break
     p.which = field
     p.forms = ["".join(map(_letters, core))]
+    p.swaps = ["".join(map(_letters, c)) for c in _turned(core)]
 
 
 def _project(text: str, p: Profile) -> None:
@@ -151,6 +163,7 @@ def _project(text: str, p: Profile) -> None:
             core.append(w)
     p.which = number
     p.forms = ["".join(map(_letters, core))]
+    p.swaps = ["".join(map(_letters, c)) for c in _turned(core)]
 
 
 def _person(text: str, raw: str, p: Profile) -> None:
@@ -159,6 +172,7 @@ def _person(text: str, raw: str, p: Profile) -> None:
     if len(words) > 1:
         words = [w for w in words if w not in _TITLES]
     long = [_letters(w) for w in words if len(w) > 1]
+    p.swaps = ["".join(map(_letters, c)) for c in _turned([w for w in words if len(w) > 1])]
     short = [w for w in words if len(w) == 1 and w.isalpha() and not "가" <= w <= "힣"]
     if len(long) >= 2:
         a, b = long[0], "".join(long[1:])
@@ -198,9 +212,10 @@ def _slips(form: str) -> set[str]:
 
 def _entries(kind: str, name: str) -> list[tuple[str, str, str]]:
     """(role, block, value) of a spelling. Roles: full (block: form less a letter), has (a given name
-    with the family in the block), initial and pet (what wants such a profile)."""
+    with the family in the block), initial and pet (what wants such a profile), swap (another full form
+    that it may stand for)."""
     p = profile(kind, name)
-    out = {("full", f"{p.which}|{s}", f) for f in p.forms for s in _slips(f)}
+    out = {("full", f"{p.which}|{s}", f) for f in p.forms for s in _slips(f)} | {("swap", f"{p.which}|", s) for s in p.swaps}
     for given, family in p.tokens:
         out |= {("has", f"{given[0]}|{s}", given) for s in _slips(family)}
         out.add(("has", f"{given[:2]}~{family}", given))
@@ -258,6 +273,8 @@ def link_variants(entities: DataFrame) -> DataFrame:
     same = entries.filter("role = 'full'").select("table_name", "kind", F.split("block", r"\|")[0].alias("which"), "value", "sid").distinct()
     first = same.groupBy("table_name", "kind", "which", "value").agg(F.min("sid").alias("first"))
     equal = same.join(first, ["table_name", "kind", "which", "value"]).filter("sid <> first").select(F.col("sid").alias("a"), F.col("first").alias("b"))
+    turned = entries.filter("role = 'swap'").select("table_name", "kind", F.split("block", r"\|")[0].alias("which"), "value", "sid").distinct()
+    swaps = turned.join(first, ["table_name", "kind", "which", "value"]).filter("sid <> first").select(F.col("sid").alias("a"), F.col("first").alias("b"))
     x, y = full.alias("x"), full.alias("y")
     apart = F.levenshtein("x.value", "y.value")
     swapped = (apart == 2) & (F.length("x.value") == F.length("y.value")) & (F.array_sort(F.split("x.value", "")) == F.array_sort(F.split("y.value", "")))
@@ -270,7 +287,7 @@ def link_variants(entities: DataFrame) -> DataFrame:
     by_id = named.groupBy("table_name", "entity_id").agg(F.min("sid").alias("b"))
     held = named.join(by_id, ["table_name", "entity_id"]).filter("sid <> b").select(F.col("sid").alias("a"), "b")
     labels = spellings.select("sid", F.col("sid").alias("label"))
-    labels = components(labels, equal.unionByName(near).unionByName(held), "variants-0")
+    labels = components(labels, equal.unionByName(near).unionByName(swaps).unionByName(held), "variants-0")
     has = entries.filter("role = 'has'").select(*place, F.col("sid").alias("full_sid"), F.col("value").alias("given_name"))
     wants = entries.filter("role in ('initial', 'pet')").select(*place, "role", F.col("value").alias("wanted"), "sid")
     fits = cut(
