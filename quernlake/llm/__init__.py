@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from types import ModuleType
 
-_MODULES = ("splitting", "conversations", "vectors", "personal", "forms", "variants", "tokens", "mixing")
+_MODULES = ("splitting", "conversations", "vectors", "personal", "forms", "variants", "tokens", "mixing", "subjects")
 
 
 def query_modules() -> list[ModuleType]:
