@@ -36,7 +36,7 @@ _PARTICLES = sorted(
 )
 #: Terms in fewer documents than this tell nothing; at most MOST_TERMS terms, the most frequent, are weighed.
 MIN_DOCUMENTS, MAX_SHARE, MOST_TERMS = 5, 0.4, 50_000
-RANK, PASSES, ROUNDS = 64, 3, 4
+RANK, PASSES, ROUNDS = 64, 6, 4
 #: Margin between the two best cosines from which a document is clearly of its area, and margin times
 #: discriminating part from which a term is of its area.
 CLEAR_MARGIN, TERM_SCORE = 0.25, 0.17
