@@ -218,7 +218,7 @@ def similar_vectors(vectors: DataFrame, k: int = 10, least: float | None = None,
     floor = -2.0 if least is None else float(least)
 
     # Copies of a vector are one row: only the smallest id of a class goes into the cells.
-    classes = rows.groupBy("part", "vector").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.bool_or("asked").alias("asked"))
+    classes = rows.groupBy("part", "vector").agg(F.min("id").alias("id"), F.bool_or("asked").alias("asked"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,13 +267,16 @@ def similar_vectors(vectors: DataFrame, k: int = 10, least: float | None = None,
 
     near = dealt.groupBy("part", "cell", "block").applyInArrow(search, "part string, id string, neighbour string, cosine double")
     near = near.groupBy("part", "id", "neighbour").agg(F.max("cosine").alias("cosine"))
-    return _with_copies(near, rows, classes.filter("id <> last").select("part", "vector", F.col("id").alias("class")), k).filter(F.col("cosine") >= floor)
+    # Which ids are copies shows by 96 bits of hash, so that no vector travels for it.
+    keyed = rows.select("part", F.xxhash64("vector").alias("h"), F.hash("vector").alias("g"), "id", "asked")
+    return _with_copies(near, keyed, k).filter(F.col("cosine") >= floor)
 
 
-def _with_copies(near: DataFrame, rows: DataFrame, several: DataFrame, k: int) -> DataFrame:
+def _with_copies(near: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """Neighbours of ids from neighbours of classes: copies of a vector are each other's nearest."""
+    several = rows.groupBy("part", "h", "g").agg(F.min("id").alias("class"), F.max("id").alias("last")).filter("class <> last").drop("last")
     # AQE splits the joins on a class where one is hot; the windows below see few rows of it, by salts.
-    members = rows.select("part", "vector", "id", "asked").join(several, ["part", "vector"]).groupBy("part", "class", "id").agg(F.bool_or("asked").alias("asked"))
+    members = rows.join(several, ["part", "h", "g"]).groupBy("part", "class", "id").agg(F.bool_or("asked").alias("asked"))
     by_id = W.partitionBy("part", "class", "salt").orderBy("id")
     few = members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("r", F.row_number().over(by_id)).filter(F.col("r") <= k + 1)
     few = few.withColumn("r", F.row_number().over(W.partitionBy("part", "class").orderBy("id"))).filter(F.col("r") <= k + 1)
