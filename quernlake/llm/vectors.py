@@ -136,7 +136,7 @@ def scan(data: np.ndarray, queries: np.ndarray, centroid: np.ndarray, books: np.
     best by the table scan, with exact cosines."""
     m, c, w = books.shape
     codes = encode(data, data - centroid, books, eta(data.shape[1]))
-    pairs = codes[:, 0::2] * c + codes[:, 1::2]
+    pairs = np.ascontiguousarray((codes[:, 0::2] * c + codes[:, 1::2]).T, dtype=np.intp)
     n, batch = len(data), 256
     step = max(1, n // 1024)
     for b in range(0, len(queries), batch):
@@ -146,16 +146,17 @@ def scan(data: np.ndarray, queries: np.ndarray, centroid: np.ndarray, books: np.
         scale = 255.0 / np.maximum((tables.max(axis=(0, 1)) - low), 1e-9)
         small = ((tables - low) * scale).astype(np.uint16)  # eight bits an entry
         joint = (small[0::2, :, None, :] + small[1::2, None, :, :]).reshape(m // 2, c * c, len(q))
-        score = np.take(joint[0], pairs[:, 0], axis=0)
+        # In clip mode rows are copied straight to their place.
+        score = np.take(joint[0], pairs[0], axis=0, mode="clip")
         held = np.empty_like(score)
         for j in range(1, m // 2):
-            np.take(joint[j], pairs[:, j], axis=0, out=held)
+            np.take(joint[j], pairs[j], axis=0, out=held, mode="clip")
             score += held
         if n > keep * 2:
             some = score[::step]
             rank = min(len(some) - 1, int(np.ceil(keep * len(some) / n * 1.5)) + 2)
             floor = np.partition(some, len(some) - 1 - rank, axis=0)[len(some) - 1 - rank]
-            at, of = np.nonzero(score >= floor)
+            at, of = np.divmod(np.flatnonzero(score >= floor), len(q))
         else:
             at, of = (g.ravel() for g in np.meshgrid(np.arange(n), np.arange(len(q)), indexing="ij"))
         for k in range(0, len(at), 65536):
