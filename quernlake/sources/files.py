@@ -81,7 +81,7 @@ def read_chat_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def write_tsv(df: DataFrame, path: str) -> None:
     """Tab-separated values; line ends inside values become \\n."""
-    flat = [F.regexp_replace(F.col(c).cast("string"), r"\r?\n", r"\\\\n").alias(c) for c in df.columns]
+    flat = [F.regexp_replace(F.col(c).cast("string"), r"\r?\n", r"\\n").alias(c) for c in df.columns]
     df.select(*flat).write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", "").csv(path)
 
 
