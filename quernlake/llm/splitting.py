@@ -51,7 +51,8 @@ def _whole_character(text: str, at: int, low: int) -> int:
 
 
 def _attempt(text: str, pieces: int, limit: int, overlap: int, by_message: bool, messages: list[int], at: list[int], strength: list[int]) -> list[tuple[int, int]] | None:
-    n, spans, start, done = len(text), [], 0, 0
+    # What a piece repeats isn't new; the first one's start counts as if it were repeated.
+    n, spans, start, done = len(text), [], 0, 0 if by_message else overlap
     for left in range(pieces, 0, -1):
         if left == 1:
             return [*spans, (start, n)] if n - start <= limit else None
