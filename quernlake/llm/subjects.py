@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -61,6 +62,15 @@ def sentences(text: str) -> list[str]:
     return out
 
 
+@lru_cache(maxsize=1 << 16)
+def _noun(word: str) -> str | None:
+    """A Korean word without its particle, if it has one."""
+    for p in _PARTICLES:
+        if word.endswith(p) and len(word) - len(p) >= 2:
+            return word[: -len(p)]
+    return None
+
+
 def terms(sentence: str) -> list[str]:
     """Words and pairs of Latin words, and Korean words with and without their particle."""
     found: dict[str, None] = {}
@@ -76,10 +86,8 @@ def terms(sentence: str) -> list[str]:
         else:
             before = ""
             found[w] = None
-            for p in _PARTICLES:
-                if w.endswith(p) and len(w) - len(p) >= 2:
-                    found[w[: -len(p)]] = None
-                    break
+            if noun := _noun(w):
+                found[noun] = None
     return list(found)
 
 
