@@ -75,8 +75,9 @@ def row_documents(spark: SparkSession, d: str) -> DataFrame:
 _POS = """WITH pos AS (SELECT * FROM messages QUALIFY row_number() OVER (PARTITION BY room_id, seq ORDER BY id) = 1) """
 
 
-def _positions(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "messages").groupBy("room_id", "seq").agg(F.min_by(F.struct("id", "sent_at", "sender_id", "msg_type", "text"), "id").alias("m"))
+def _positions(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The first delivery of each position, with the columns that are asked for: others never leave the scan."""
+    rows = table(spark, d, "messages").groupBy("room_id", "seq").agg(F.min_by(F.struct("id", *columns), "id").alias("m"))
     return rows.select("room_id", "seq", "m.*")
 
 
@@ -84,7 +85,7 @@ def _positions(spark: SparkSession, d: str) -> DataFrame:
  (SELECT *, coalesce(date_diff('second', lag(sent_at) OVER (PARTITION BY room_id ORDER BY seq), sent_at) > 1800, true) AS brk FROM pos)) GROUP BY ALL""")
 def sessions_30m(spark: SparkSession, d: str) -> DataFrame:
     """Sessions of rooms at gaps of more than 30 minutes."""
-    rows = with_group_starts(_positions(spark, d), ["room_id"], "seq", lambda b: gap_over(F.col("sent_at"), b["sent_at"], 30), ["sent_at"])
+    rows = with_group_starts(_positions(spark, d, "sent_at"), ["room_id"], "seq", lambda b: gap_over(F.col("sent_at"), b["sent_at"], 30), ["sent_at"])
     return rows.groupBy("room_id", F.col("group_start").alias("start_seq")).agg(F.count("*").alias("n"), F.min("sent_at").alias("first_at"), F.max("sent_at").alias("last_at"))
 
 
@@ -93,7 +94,7 @@ def sessions_30m(spark: SparkSession, d: str) -> DataFrame:
 def same_sender_merge(spark: SparkSession, d: str) -> DataFrame:
     """Messages of one sender within five minutes become one."""
     new = lambda b: ~b["sender_id"].eqNullSafe(F.col("sender_id")) | gap_over(F.col("sent_at"), b["sent_at"], 5)
-    rows = with_group_starts(_positions(spark, d), ["room_id"], "seq", new, ["sender_id", "sent_at"])
+    rows = with_group_starts(_positions(spark, d, "sent_at", "sender_id", "text"), ["room_id"], "seq", new, ["sender_id", "sent_at"])
     texts = F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("seq", "text"))))
     merged = rows.groupBy("room_id", F.col("group_start").alias("start_seq"), "sender_id").agg(F.count("*").alias("n"), texts.alias("t"))
     return merged.select("room_id", "start_seq", "sender_id", "n", F.when(F.size("t") > 0, F.array_join(F.transform("t", lambda x: x["text"]), "\n")).alias("text"))
@@ -102,7 +103,7 @@ def same_sender_merge(spark: SparkSession, d: str) -> DataFrame:
 @R.query()
 def chunk_session_window(spark: SparkSession, d: str) -> DataFrame:
     """Windows of up to 30 messages and 700 characters in sessions, overlapping by three messages."""
-    usable = _positions(spark, d).filter("msg_type in ('text', 'link') and text is not null")
+    usable = _positions(spark, d, "sent_at", "sender_id", "msg_type", "text").filter("msg_type in ('text', 'link') and text is not null")
     rows = with_group_starts(usable, ["room_id"], "seq", lambda b: gap_over(F.col("sent_at"), b["sent_at"], 30), ["sent_at"])
     return C.session_windows(rows.select("room_id", F.col("group_start").alias("session"), "seq", F.col("sender_id").cast("string").alias("sender"), "text"), 30, 700, 3)
 
@@ -112,7 +113,7 @@ def chunk_session_window(spark: SparkSession, d: str) -> DataFrame:
  SELECT room_id, start_seq, CAST(w AS BIGINT) AS window_no, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS n_messages FROM (SELECT *, unnest(range(greatest(0, (i - 11 + 8) // 9), i // 9 + 1)) AS w FROM n) WHERE w = 0 OR w * 9 + 3 < size GROUP BY ALL""")
 def count_window_gap(spark: SparkSession, d: str) -> DataFrame:
     """Windows of 12 messages overlapping by 3, broken at gaps of over two hours."""
-    rows = with_group_starts(_positions(spark, d), ["room_id"], "seq", lambda b: gap_over(F.col("sent_at"), b["sent_at"], 120), ["sent_at"])
+    rows = with_group_starts(_positions(spark, d, "sent_at"), ["room_id"], "seq", lambda b: gap_over(F.col("sent_at"), b["sent_at"], 120), ["sent_at"])
     w = W.partitionBy("room_id", "group_start")
     n = rows.withColumn("i", F.row_number().over(w.orderBy("seq")) - 1).withColumn("size", F.count("*").over(w))
     first = F.greatest(F.lit(0), F.floor((F.col("i") - 11 + 8) / 9).cast("int"))
