@@ -52,10 +52,10 @@ def canonical_fields(folded: str) -> str | None:
     if spaced.startswith("{"):
         try:
             value = json.loads(spaced)
-        except ValueError:
-            value = None
-        if isinstance(value, dict) and value:
-            return _flat(value)
+            if isinstance(value, dict) and value:
+                return _flat(value)
+        except (ValueError, RecursionError):  # not JSON, or nested too deep to be fields
+            pass
         spaced = regex.sub(r"[\"'{}]+", " ", spaced).strip(" ,")
     body = spaced.strip("- ")
     marks = list(_KEY.finditer(body))
