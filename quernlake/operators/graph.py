@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernlake.session import cut
+from quernlake.session import cut, hot_keys, with_salts
+
+#: Rows of a key above which its rows are dealt out.
+HOT_ROWS = 1000
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -27,11 +30,17 @@ def without_hubs(edges: DataFrame, most: int) -> DataFrame:
     return edges.join(hubs.withColumnRenamed("node", "src"), "src", "left_anti").join(hubs.withColumnRenamed("node", "dst"), "dst", "left_anti")
 
 
+def meet(left: DataFrame, right: DataFrame, key: str, by: str) -> DataFrame:
+    """Equality join on key; the rows of a hot key of left are dealt out by column `by`, right's copied."""
+    hot = hot_keys(left, [key], HOT_ROWS)
+    return with_salts(left, [key], hot, HOT_ROWS, by).join(with_salts(right, [key], hot, HOT_ROWS, None), [key, "salt"]).drop("salt")
+
+
 def paths(edges: DataFrame, starts: DataFrame, most_hops: int, unique: str = "node") -> DataFrame:
     """Directed paths of 1 to most_hops edges from the start nodes (node), each node or each edge at
     most once. edges: edge_id, src, rel, dst. Result: start, end, hops, nodes, rels.
 
-    The number of paths grows with the degree; take hubs out first.
+    The number of paths grows with the degree.
     """
     e = edges.select("edge_id", "src", "rel", "dst")
     front = starts.select(F.col("node").alias("start"), F.col("node").alias("end"), F.array("node").alias("nodes"), F.array().cast("array<string>").alias("rels"), F.array().cast("array<bigint>").alias("ids"))

@@ -10,7 +10,7 @@ from quernlake.functions import text as X
 from quernlake.operators import graph as G
 from quernlake.operators import knowledge as K
 from quernlake.operators import ranking as rank
-from quernlake.plans.graph import _E, _edges, _entities
+from quernlake.plans.graph import _E, _edges, _entities, _whole
 from quernlake.plans.registry import Registry
 from quernlake.session import table
 
@@ -133,11 +133,21 @@ def neighbour_summaries(spark: SparkSession, d: str) -> DataFrame:
 def recommendations(spark: SparkSession, d: str) -> DataFrame:
     """What nodes with a common neighbour have and a node has not; hubs, which would make all
     pairs of their neighbours, aren't expanded."""
-    p = G.without_hubs(_edges(spark, d), 20).select("src", "dst").distinct()
+    return _recommendations(G.without_hubs(_edges(spark, d), 20))
+
+
+@R.query(_whole(SQL["recommendations"]))
+def recommendations_all(spark: SparkSession, d: str) -> DataFrame:
+    """What nodes with a common neighbour have and a node has not, through every node."""
+    return _recommendations(_edges(spark, d))
+
+
+def _recommendations(edges: DataFrame) -> DataFrame:
+    p = edges.select("src", "dst").distinct()
     b = p.select(F.col("src").alias("peer"), "dst")
-    shared = p.join(b, "dst").filter("src <> peer")
+    shared = G.meet(p, b, "dst", "src").filter("src <> peer")
     c = p.select(F.col("src").alias("peer"), F.col("dst").alias("suggestion"))
-    found = shared.join(c, "peer").filter("suggestion <> src").join(p.select("src", F.col("dst").alias("suggestion")), ["src", "suggestion"], "left_anti")
+    found = G.meet(shared, c, "peer", "src").filter("suggestion <> src").join(p.select("src", F.col("dst").alias("suggestion")), ["src", "suggestion"], "left_anti")
     counted = found.groupBy(F.col("src").alias("node"), "suggestion").agg(F.count_distinct("dst").alias("n_shared"))
     top = rank.top_k(counted, ["node"], [F.desc("n_shared"), F.col("suggestion")], 3, "suggestion", rank="place")
     return top.select("node", "suggestion", "n_shared", "place")

@@ -21,6 +21,16 @@ _E = """WITH e AS (SELECT id AS edge_id, subject AS src, predicate AS rel, objec
  calm AS (SELECT * FROM e WHERE src NOT IN (SELECT node FROM hubs) AND dst NOT IN (SELECT node FROM hubs)) """
 
 
+_HUB_STOP = " WHERE src NOT IN (SELECT node FROM hubs) AND dst NOT IN (SELECT node FROM hubs)"
+
+
+def _whole(sql: str) -> str:
+    """The SQL of a hub-stopped query over all edges."""
+    if _HUB_STOP not in sql:
+        raise ValueError("no hub stop in this SQL")
+    return sql.replace(_HUB_STOP, "")
+
+
 def _edges(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "edges").select("id", "subject", "predicate", "object").distinct().filter(F.col("object").rlike(r"\S"))
     return e.select(F.col("id").alias("edge_id"), F.col("subject").alias("src"), F.col("predicate").alias("rel"), F.col("object").alias("dst"))
@@ -58,19 +68,41 @@ def schema_discovery(spark: SparkSession, d: str) -> DataFrame:
 @R.query(_E + "SELECT x.src AS project, y.dst AS organization, count(*) AS n, min(x.rel || '/' || y.rel) AS chain FROM calm x JOIN calm y ON x.dst = y.src JOIN ents p ON p.entity_id = x.src AND p.entity_type = 'project' JOIN ents o ON o.entity_id = y.dst AND o.entity_type = 'organization' GROUP BY ALL")
 def two_hop(spark: SparkSession, d: str) -> DataFrame:
     """A pattern of two edges between types, hubs left out."""
-    calm = G.without_hubs(_edges(spark, d), 20)
+    return _two_hop(spark, d, G.without_hubs(_edges(spark, d), 20))
+
+
+@R.query(_whole(SQL["two_hop"]))
+def two_hop_all(spark: SparkSession, d: str) -> DataFrame:
+    """A pattern of two edges between types, through every node."""
+    return _two_hop(spark, d, _edges(spark, d))
+
+
+def _two_hop(spark: SparkSession, d: str, edges: DataFrame) -> DataFrame:
+    """Equal steps are counted before they meet at the middle node."""
     t = _entities(spark, d)
-    x = calm.join(t.filter("entity_type = 'project'").select(F.col("entity_id").alias("src")), "src").select("src", F.col("dst").alias("mid"), F.col("rel").alias("r1"))
-    y = calm.join(t.filter("entity_type = 'organization'").select(F.col("entity_id").alias("dst")), "dst").select(F.col("src").alias("mid"), "dst", F.col("rel").alias("r2"))
-    return x.join(y, "mid").groupBy(F.col("src").alias("project"), F.col("dst").alias("organization")).agg(F.count("*").alias("n"), F.min(F.concat_ws("/", "r1", "r2")).alias("chain"))
+    x = edges.join(t.filter("entity_type = 'project'").select(F.col("entity_id").alias("src")), "src").select("src", F.col("dst").alias("mid"), F.col("rel").alias("r1"))
+    y = edges.join(t.filter("entity_type = 'organization'").select(F.col("entity_id").alias("dst")), "dst").select(F.col("src").alias("mid"), "dst", F.col("rel").alias("r2"))
+    x = x.groupBy("src", "mid", "r1").agg(F.count("*").alias("n1"))
+    y = y.groupBy("mid", "dst", "r2").agg(F.count("*").alias("n2"))
+    return G.meet(x, y, "mid", "src").groupBy(F.col("src").alias("project"), F.col("dst").alias("organization")).agg(F.sum(F.col("n1") * F.col("n2")).alias("n"), F.min(F.concat_ws("/", "r1", "r2")).alias("chain"))
 
 
 @R.query(_E + ", pairs AS (SELECT DISTINCT src, dst FROM calm) SELECT a.src AS a, b.src AS b, count(*) AS n_shared FROM pairs a JOIN pairs b ON a.dst = b.dst AND a.src < b.src GROUP BY ALL HAVING count(*) > 1")
 def shared_neighbor(spark: SparkSession, d: str) -> DataFrame:
     """Nodes with more than one neighbour in common; a neighbour has at most twenty, hubs being out."""
-    p = G.without_hubs(_edges(spark, d), 20).select("src", "dst").distinct()
+    return _shared_neighbor(G.without_hubs(_edges(spark, d), 20))
+
+
+@R.query(_whole(SQL["shared_neighbor"]))
+def shared_neighbor_all(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes with more than one neighbour in common, however many share it."""
+    return _shared_neighbor(_edges(spark, d))
+
+
+def _shared_neighbor(edges: DataFrame) -> DataFrame:
+    p = edges.select("src", "dst").distinct()
     q = p.select(F.col("src").alias("b"), "dst")
-    return p.join(q, "dst").filter("src < b").groupBy(F.col("src").alias("a"), "b").agg(F.count("*").alias("n_shared")).filter("n_shared > 1")
+    return G.meet(p, q, "dst", "src").filter("src < b").groupBy(F.col("src").alias("a"), "b").agg(F.count("*").alias("n_shared")).filter("n_shared > 1")
 
 
 @R.query(_E + "SELECT entity_id, entity_type, count(rel) AS n, coalesce(array_to_string(list_sort(list_distinct(list(rel) FILTER (rel IS NOT NULL))), ','), '') AS rels FROM ents LEFT JOIN e ON src = entity_id GROUP BY ALL")
@@ -100,8 +132,18 @@ def evidence_agg(spark: SparkSession, d: str) -> DataFrame:
  UNION ALL SELECT w.start, c.dst, list_append(w.nodes, c.dst), w.rels || '/' || c.rel, w.hops + 1 FROM walk w JOIN calm c ON c.src = w."end" AND NOT list_contains(w.nodes, c.dst) WHERE w.hops < 3)
  SELECT start, "end", hops, count(*) AS n, min(rels) AS first_chain FROM walk GROUP BY ALL""")
 def var_paths_1_3(spark: SparkSession, d: str) -> DataFrame:
+    """Paths of one to three edges that pass no node twice, hubs left out."""
+    return _var_paths(spark, d, G.without_hubs(_edges(spark, d), 20))
+
+
+@R.query(_whole(SQL["var_paths_1_3"]))
+def var_paths_1_3_all(spark: SparkSession, d: str) -> DataFrame:
     """Paths of one to three edges that pass no node twice."""
-    found = G.paths(G.without_hubs(_edges(spark, d), 20), _starts(spark, d), 3)
+    return _var_paths(spark, d, _edges(spark, d))
+
+
+def _var_paths(spark: SparkSession, d: str, edges: DataFrame) -> DataFrame:
+    found = G.paths(edges, _starts(spark, d), 3)
     return found.groupBy("start", "end", "hops").agg(F.count("*").alias("n"), F.min(F.array_join("rels", "/")).alias("first_chain"))
 
 
@@ -109,8 +151,18 @@ def var_paths_1_3(spark: SparkSession, d: str) -> DataFrame:
  UNION ALL SELECT w.start, c.dst, list_append(w.ids, c.edge_id), w.hops + 1 FROM walk w JOIN calm c ON c.src = w."end" AND NOT list_contains(w.ids, c.edge_id) WHERE w.hops < 3)
  SELECT start, hops, count(*) AS n, count(DISTINCT "end") AS n_ends FROM walk GROUP BY ALL""")
 def trails_1_3(spark: SparkSession, d: str) -> DataFrame:
+    """Paths that pass no edge twice, hubs left out."""
+    return _trails(spark, d, G.without_hubs(_edges(spark, d), 20))
+
+
+@R.query(_whole(SQL["trails_1_3"]))
+def trails_1_3_all(spark: SparkSession, d: str) -> DataFrame:
     """Paths that pass no edge twice."""
-    found = G.paths(G.without_hubs(_edges(spark, d), 20), _starts(spark, d), 3, unique="edge")
+    return _trails(spark, d, _edges(spark, d))
+
+
+def _trails(spark: SparkSession, d: str, edges: DataFrame) -> DataFrame:
+    found = G.paths(edges, _starts(spark, d), 3, unique="edge")
     return found.groupBy("start", "hops").agg(F.count("*").alias("n"), F.count_distinct("end").alias("n_ends"))
 
 
@@ -147,10 +199,16 @@ def component_sizes(spark: SparkSession, d: str) -> DataFrame:
     return G.components(G.without_hubs(_edges(spark, d), 20)).groupBy("component").agg(F.count("*").alias("size"))
 
 
+@R.query(_whole(SQL["component_sizes"]))
+def component_sizes_all(spark: SparkSession, d: str) -> DataFrame:
+    """M8: connected components."""
+    return G.components(_edges(spark, d)).groupBy("component").agg(F.count("*").alias("size"))
+
+
 @R.query()
 def communities_lpa(spark: SparkSession, d: str) -> DataFrame:
-    """Communities of at least four by label propagation, hubs left out, with their sizes and types."""
-    labels = G.label_propagation(G.without_hubs(_edges(spark, d), 20))
+    """Communities of at least four by label propagation, with their sizes and types."""
+    labels = G.label_propagation(_edges(spark, d))
     members = labels.join(_entities(spark, d).withColumnRenamed("entity_id", "node"), "node", "left")
     return members.groupBy("community").agg(F.count("*").alias("size"), F.count_if(F.col("entity_type") == "person").alias("persons"), F.min("label").alias("first_label")).filter("size >= 4")
 
@@ -158,17 +216,26 @@ def communities_lpa(spark: SparkSession, d: str) -> DataFrame:
 @R.query()
 def communities_modularity(spark: SparkSession, d: str) -> DataFrame:
     """How well the communities part the graph."""
-    e = G.without_hubs(_edges(spark, d), 20)
+    e = _edges(spark, d)
     return G.modularity(e, G.label_propagation(e))
 
 
 @R.query(_E + "SELECT x.src AS person, x.dst AS thing, y.dst AS owner FROM calm x JOIN calm y ON x.dst = y.src AND y.rel = 'BELONGS_TO' WHERE x.rel = 'USES'")
 def sparql_bgp(spark: SparkSession, d: str) -> DataFrame:
+    """A basic graph pattern of two triples, hubs left out."""
+    return _sparql_bgp(G.without_hubs(_edges(spark, d), 20))
+
+
+@R.query(_whole(SQL["sparql_bgp"]))
+def sparql_bgp_all(spark: SparkSession, d: str) -> DataFrame:
     """A basic graph pattern of two triples."""
-    calm = G.without_hubs(_edges(spark, d), 20)
-    x = calm.filter("rel = 'USES'").select(F.col("src").alias("person"), F.col("dst").alias("thing"))
-    y = calm.filter("rel = 'BELONGS_TO'").select(F.col("src").alias("thing"), F.col("dst").alias("owner"))
-    return x.join(y, "thing").select("person", "thing", "owner")
+    return _sparql_bgp(_edges(spark, d))
+
+
+def _sparql_bgp(edges: DataFrame) -> DataFrame:
+    x = edges.filter("rel = 'USES'").select(F.col("src").alias("person"), F.col("dst").alias("thing"))
+    y = edges.filter("rel = 'BELONGS_TO'").select(F.col("src").alias("thing"), F.col("dst").alias("owner"))
+    return G.meet(x, y, "thing", "person").select("person", "thing", "owner")
 
 
 @R.query(_E + """SELECT p, count(*) AS n, count(DISTINCT o) AS n_objects FROM (SELECT edge_id AS s, unnest(['rdf:subject', 'rdf:predicate', 'rdf:object']) AS p, unnest([src, rel, dst]) AS o FROM e) GROUP BY p""")
