@@ -196,3 +196,9 @@ def added_lines(patch: Column) -> Column:
     """Lines a diff adds, without the file header and comments."""
     lines = F.filter(F.split(patch, "\n"), lambda x: x.startswith("+") & ~x.startswith("+++"))
     return F.filter(F.transform(lines, lambda x: F.trim(F.regexp_replace(F.substring(x, F.lit(2), F.length(x)), r"(#|//).*$", ""))), lambda x: x != "")
+
+
+def shares_window(text: Column, body: Column, size: int) -> Column:
+    """Whether any `size` characters in a row of text stand in body."""
+    at = F.sequence(F.lit(1), F.length(text) - (size - 1))
+    return F.when(F.length(text) >= size, F.exists(at, lambda i: F.contains(body, F.substring(text, i, F.lit(size))))).otherwise(F.lit(False))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quernlake.functions.text import words
+from quernlake.functions.text import shares_window, words
 from quernlake.operators import activity as A
 from quernlake.plans.registry import Registry
 from quernlake.session import table
@@ -240,6 +240,15 @@ def verbatim_copy(spark: SparkSession, d: str) -> DataFrame:
     return e.join(c, "id").filter(F.contains("content", "start")).groupBy("id").agg(F.count_distinct("start").alias("n_copied"))
 
 
+@R.query("""SELECT c.id, count(DISTINCT e.evidence) AS n_copied FROM (SELECT DISTINCT chunk_id, evidence FROM edges) e JOIN document_chunks c ON c.id = e.chunk_id
+ WHERE len(list_filter(range(1, length(e.evidence) - 48), lambda i: contains(c.content, substring(e.evidence, i, 50)))) > 0 GROUP BY c.id""")
+def verbatim_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Evidence of which any 50 characters in a row stand in its chunk word for word."""
+    e = table(spark, d, "edges").select(F.col("chunk_id").alias("id"), "evidence").distinct()
+    c = table(spark, d, "document_chunks").select("id", "content")
+    return e.join(c, "id").filter(shares_window(F.col("evidence"), F.col("content"), 50)).groupBy("id").agg(F.count_distinct("evidence").alias("n_copied"))
+
+
 @R.query("""SELECT q, CASE WHEN regexp_matches(q, '(?i)^\\s*(select|with)\\b') AND NOT regexp_matches(q, '(?i)\\b(insert|update|delete|drop|alter|create|truncate|merge)\\b') AND NOT contains(q, ';') AND NOT contains(q, '--') THEN 'allowed' ELSE 'refused' END AS verdict
  FROM (VALUES ('SELECT * FROM documents LIMIT 5'), ('with a as (select 1) select * from a'), ('DROP TABLE documents'), ('SELECT 1; DELETE FROM a'), ('select * from t -- all'), ('UPDATE a SET b = 1')) v(q)""")
 def query_guard(spark: SparkSession, d: str) -> DataFrame:

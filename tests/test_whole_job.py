@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
+from quernlake.functions.text import shares_window
 from quernlake.operators import graph
+from quernlake.plans import activity
 from quernlake.plans import graph as plans
 
 
@@ -35,3 +39,13 @@ def test_meeting_at_a_hot_node(spark, monkeypatch):
     y = spark.createDataFrame([("hub", "p"), ("hub", "q"), ("m", "p"), ("n", "p")], "mid string, dst string")
     got = sorted((r.src, r.mid, r.dst) for r in graph.meet(x, y, "mid", "src").collect())
     assert got == sorted((a, m, e) for a, m in x.collect() for k, e in y.collect() if m == k)
+
+
+def test_a_copy_is_found_wherever_it_stands(spark, tmp_path):
+    long = "".join(chr(0xAC00 + 7 * n) for n in range(120))
+    pairs = [(long, "x" + long[40:90] + "y"), (long, long[40:89] + "#"), (long, long[:30]), (long, long[70:]), (long[:49], long), (long[:50], long), ("", long), (None, long), (long, None)]
+    got = [r.s for r in spark.createDataFrame([(*p, k) for k, p in enumerate(pairs)], "t string, b string, k int").orderBy("k").select(shares_window(F.col("t"), F.col("b"), 50).alias("s")).collect()]
+    assert [bool(s) for s in got] == [any(t[i:i + 50] in b for i in range(len(t) - 49)) if t and b else False for t, b in pairs]
+    spark.createDataFrame([("c", long), ("d", long)], "chunk_id string, evidence string").write.parquet(f"{tmp_path}/edges.parquet")
+    spark.createDataFrame([("c", "x" + long[40:90]), ("d", long[:30])], "id string, content string").write.parquet(f"{tmp_path}/document_chunks.parquet")
+    assert [(r.id, r.n_copied) for r in activity.verbatim_windows(spark, str(tmp_path)).collect()] == [("c", 1)]
