@@ -7,7 +7,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from quernlake.functions.text import shares_window
-from quernlake.operators import graph
+from quernlake.operators import graph, lexical
 from quernlake.plans import activity
 from quernlake.plans import graph as plans
 
@@ -49,3 +49,9 @@ def test_a_copy_is_found_wherever_it_stands(spark, tmp_path):
     spark.createDataFrame([("c", long), ("d", long)], "chunk_id string, evidence string").write.parquet(f"{tmp_path}/edges.parquet")
     spark.createDataFrame([("c", "x" + long[40:90]), ("d", long[:30])], "id string, content string").write.parquet(f"{tmp_path}/document_chunks.parquet")
     assert [(r.id, r.n_copied) for r in activity.verbatim_windows(spark, str(tmp_path)).collect()] == [("c", 1)]
+
+
+def test_every_question_is_answered(spark):
+    docs = spark.createDataFrame([(n, f"common w{n}") for n in range(1500)], "doc_id int, text string")
+    questions = spark.createDataFrame([(n, f"w{n}") for n in range(1500)], "query_id int, text string")
+    assert {(r.query_id, r.doc_id) for r in lexical.bm25(docs, questions).collect()} == {(n, n) for n in range(1500)}
