@@ -170,10 +170,10 @@ _BFS = _E.replace("WITH", "WITH RECURSIVE", 1) + """, seeds AS (SELECT subject A
  reach AS (SELECT node, 0 AS r FROM seeds UNION SELECT n.other, reach.r + 1 FROM reach JOIN near n ON n.node = reach.node WHERE reach.r < 2), bfs AS (SELECT node, min(r) AS round FROM reach GROUP BY node) """
 
 
-def _bfs(spark: SparkSession, d: str) -> DataFrame:
+def _bfs(spark: SparkSession, d: str, rounds: int = 2) -> DataFrame:
     raw = table(spark, d, "edges").filter("predicate in ('CREATED', 'MENTIONS')")
     seeds = raw.groupBy(F.col("subject").alias("node")).count().filter("count >= 3").select("node")
-    return G.expand(_edges(spark, d), seeds, 2)
+    return G.expand(_edges(spark, d), seeds, rounds)
 
 
 @R.query(_BFS + "SELECT node, CAST(round AS BIGINT) AS round FROM bfs")
@@ -184,8 +184,25 @@ def bfs_expand(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query(_BFS + "SELECT rel, count(*) AS n FROM e WHERE src IN (SELECT node FROM bfs) AND dst IN (SELECT node FROM bfs) GROUP BY rel")
 def induced_subgraph(spark: SparkSession, d: str) -> DataFrame:
-    """The edges inside what was reached."""
-    nodes = _bfs(spark, d).select("node")
+    """The edges inside what was reached in two rounds."""
+    return _induced(spark, d, 2)
+
+
+# As the reference: three rounds, and topics of at least two members.
+@R.query(SQL["bfs_expand"].replace("reach.r < 2", "reach.r < 3"))
+def bfs_expand_3(spark: SparkSession, d: str) -> DataFrame:
+    """Expansion by three rounds."""
+    return _bfs(spark, d, 3).select("node", F.col("round").cast("bigint").alias("round"))
+
+
+@R.query(SQL["induced_subgraph"].replace("reach.r < 2", "reach.r < 3"))
+def induced_subgraph_3(spark: SparkSession, d: str) -> DataFrame:
+    """The edges inside what was reached in three rounds."""
+    return _induced(spark, d, 3)
+
+
+def _induced(spark: SparkSession, d: str, rounds: int) -> DataFrame:
+    nodes = _bfs(spark, d, rounds).select("node")
     e = _edges(spark, d)
     inside = e.join(nodes.withColumnRenamed("node", "src"), "src", "left_semi").join(nodes.withColumnRenamed("node", "dst"), "dst", "left_semi")
     return inside.groupBy("rel").agg(F.count("*").alias("n"))
@@ -247,10 +264,20 @@ def reify(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query(_E + """, topic AS (SELECT dst AS topic, count(DISTINCT src) AS members FROM e GROUP BY dst) SELECT topic, members, row_number() OVER (ORDER BY members DESC, topic) AS place FROM topic QUALIFY members >= 10 OR place <= 3""")
 def shared_topics_fill(spark: SparkSession, d: str) -> DataFrame:
-    """Objects that many subjects share, filled up to three."""
+    """Objects that at least ten subjects share, filled up to three."""
+    return _shared_topics(spark, d, 10)
+
+
+@R.query(SQL["shared_topics_fill"].replace("members >= 10", "members >= 2"))
+def shared_topics_fill_2(spark: SparkSession, d: str) -> DataFrame:
+    """Objects that at least two subjects share, filled up to three."""
+    return _shared_topics(spark, d, 2)
+
+
+def _shared_topics(spark: SparkSession, d: str, least: int) -> DataFrame:
     t = _edges(spark, d).groupBy(F.col("dst").alias("topic")).agg(F.count_distinct("src").alias("members"))
     top = t.orderBy(F.desc("members"), "topic").limit(3)
-    kept = t.filter("members >= 10").unionByName(top).distinct()
+    kept = t.filter(F.col("members") >= least).unionByName(top).distinct()
     return kept.withColumn("place", F.row_number().over(W.orderBy(F.desc("members"), "topic")))
 
 

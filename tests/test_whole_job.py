@@ -55,3 +55,12 @@ def test_every_question_is_answered(spark):
     docs = spark.createDataFrame([(n, f"common w{n}") for n in range(1500)], "doc_id int, text string")
     questions = spark.createDataFrame([(n, f"w{n}") for n in range(1500)], "query_id int, text string")
     assert {(r.query_id, r.doc_id) for r in lexical.bm25(docs, questions).collect()} == {(n, n) for n in range(1500)}
+
+
+def test_third_round_and_topics_of_two(spark, tmp_path):
+    rows = [(n, "a", "MENTIONS", f"x{n}") for n in range(3)] + [(10, "x0", "r", "y"), (11, "y", "r", "z"), (12, "z", "s", "end")]
+    rows += [(20 + n, f"m{n}", "r", f"t{n // 2}") for n in range(10)]
+    spark.createDataFrame(rows, "id int, subject string, predicate string, object string").write.parquet(f"{tmp_path}/edges.parquet")
+    assert {r.node: r.round for r in plans.bfs_expand_3(spark, str(tmp_path)).collect()} == {"a": 0, "x0": 1, "x1": 1, "x2": 1, "y": 2, "z": 3}
+    assert {r.rel: r.n for r in plans.induced_subgraph_3(spark, str(tmp_path)).collect()} == {"MENTIONS": 3, "r": 2}
+    assert [(r.topic, r.members) for r in plans.shared_topics_fill_2(spark, str(tmp_path)).orderBy("place").collect()] == [(f"t{n}", 2) for n in range(5)]
