@@ -24,16 +24,28 @@ def by_heading(text: Column) -> Column:
     return F.filter(F.split(text, r"(?m)^(?=#{1,3} )"), lambda x: F.trim(x) != "")
 
 
-def packed_paragraphs(text: Column, size: int) -> Column:
-    """Paragraphs joined greedily up to `size` characters; a longer one stays alone."""
+def packed_paragraphs(text: Column, size: int, overlap: int | None = None) -> Column:
+    """Paragraphs joined greedily up to `size` characters. A longer one stays alone, or with an
+    overlap is cut into pieces of `size` that overlap by so much; its rest is carried on."""
+    if overlap is not None and not 0 <= overlap < size:
+        raise ValueError("an overlap must be shorter than a piece")
     paragraphs = F.filter(F.split(text, r"\n\s*\n"), lambda x: F.trim(x) != "")
     empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
     def step(state: Column, p: Column) -> Column:
         joined = F.when(state["open"] == "", p).otherwise(F.concat_ws("\n\n", state["open"], p))
         fits = (state["open"] == "") | (F.length(joined) <= size)
-        done = F.when(fits, state["done"]).otherwise(F.array_append(state["done"], state["open"]))
-        return F.struct(done.alias("done"), F.when(fits, joined).otherwise(p).alias("open"))
+        if overlap is None:
+            done = F.when(fits, state["done"]).otherwise(F.array_append(state["done"], state["open"]))
+            return F.struct(done.alias("done"), F.when(fits, joined).otherwise(p).alias("open"))
+        stays = F.length(joined) <= size
+        closed = F.when(stays | (state["open"] == ""), state["done"]).otherwise(F.array_append(state["done"], state["open"]))
+        n_cut = F.greatest(F.lit(0), F.ceil((F.length(p) - size) / (size - overlap))).cast("int")
+        pieces = F.when(stays | (n_cut == 0), F.array().cast("array<string>")).otherwise(
+            F.transform(F.sequence(F.lit(0), n_cut - 1), lambda k: F.substring(p, k * (size - overlap) + 1, F.lit(size)))
+        )
+        rest = F.substring(p, n_cut * (size - overlap) + 1, F.length(p))
+        return F.struct(F.concat(closed, pieces).alias("done"), F.when(stays, joined).otherwise(rest).alias("open"))
 
     folded = F.aggregate(paragraphs, empty, step)
     return F.when(folded["open"] == "", folded["done"]).otherwise(F.array_append(folded["done"], folded["open"]))

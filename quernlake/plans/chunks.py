@@ -39,8 +39,8 @@ def chunk_heading(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query()
 def chunk_paragraph_pack(spark: SparkSession, d: str) -> DataFrame:
-    """C4: paragraphs packed up to 700 characters."""
-    return table(spark, d, "documents").select("doc_id", F.posexplode(C.packed_paragraphs(F.col("text"), 700)).alias("n", "piece"))
+    """C4: paragraphs packed up to 700 characters, longer ones cut with an overlap of 100."""
+    return table(spark, d, "documents").select("doc_id", F.posexplode(C.packed_paragraphs(F.col("text"), 700, 100)).alias("n", "piece"))
 
 
 @R.query()

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import random
+import re
 from collections import Counter
 
 from pyspark.sql import functions as F
 
 from quernlake.functions.text import shares_window
-from quernlake.operators import graph, lexical
+from quernlake.operators import chunking, graph, lexical
 from quernlake.plans import activity
 from quernlake.plans import graph as plans
 
@@ -64,3 +66,26 @@ def test_third_round_and_topics_of_two(spark, tmp_path):
     assert {r.node: r.round for r in plans.bfs_expand_3(spark, str(tmp_path)).collect()} == {"a": 0, "x0": 1, "x1": 1, "x2": 1, "y": 2, "z": 3}
     assert {r.rel: r.n for r in plans.induced_subgraph_3(spark, str(tmp_path)).collect()} == {"MENTIONS": 3, "r": 2}
     assert [(r.topic, r.members) for r in plans.shared_topics_fill_2(spark, str(tmp_path)).orderBy("place").collect()] == [(f"t{n}", 2) for n in range(5)]
+
+
+def packed(text: str, size: int, overlap: int) -> list[str]:
+    pieces, cur = [], ""
+    for para in [p for p in re.split(r"\n\s*\n", text) if p.strip()]:
+        joined = f"{cur}\n\n{para}" if cur else para
+        if len(joined) <= size:
+            cur = joined
+            continue
+        pieces += [cur] if cur else []
+        while len(para) > size:
+            pieces.append(para[:size])
+            para = para[size - overlap:]
+        cur = para
+    return pieces + [cur] if cur else pieces
+
+
+def test_long_paragraphs_are_cut(spark):
+    rng = random.Random(4)
+    texts = ["\n\n".join("".join(rng.choices("ab가", k=rng.choice([1, 5, 9, 10, 11, 13, 17, 18, 45, 60]))) for _ in range(rng.randrange(1, 6))) for _ in range(60)]
+    df = spark.createDataFrame([(t,) for t in [*texts, "", "x" * 70]], "t string")
+    for r in df.select("t", chunking.packed_paragraphs(F.col("t"), 10, 3).alias("p")).collect():
+        assert r.p == packed(r.t, 10, 3) and all(len(p) <= 10 for p in r.p)
