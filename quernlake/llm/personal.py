@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections import Counter
+from collections import ChainMap, Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -27,12 +27,15 @@ HONORIFICS = ("님", "씨", "팀장님", "선생님", "교수님", "대리님",
 ROUNDS = 3
 #: A pattern is good with so many known instances, and so great a share of known ones.
 MIN_SUPPORT, MIN_SHARE = 3, 0.3
-#: Patterns and parts of names with a smaller share of all known occurrences than this aren't used,
-#: so that at most 4 * MOST of them exist, whatever the size of the corpus.
+#: Patterns and parts of names with a smaller share of all known occurrences than this aren't sent
+#: everywhere but joined, so that at most 4 * MOST are sent, whatever the size of the corpus.
 MOST = 20_000
 #: A pattern that holds so many numbers, of which so small a share is personal, is one of things.
 THING_NUMBERS, THING_SHARE = 30, 0.02
 
+#: Between the parts of a value that is looked up; texts are split at it, so none of their tokens holds it.
+SEPARATOR = "\x1f"
+
 _FOLD = {0xFF01 + k: 0x21 + k for k in range(94)} | {0x3000: 0x20, 0xA0: 0x20}
 _WIDE, _DIGITS = re.compile("[\xa0\u3000\uff01-\uff5e]"), re.compile(r"\d+")
 _SHAPES = (
@@ -172,25 +175,37 @@ def _count_edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class Knowledge(NamedTuple):
-    """What the rounds found: good patterns with their type, patterns of things, and parts of names."""
+    """What the rounds found: good patterns with their type, patterns of things, and parts of names;
+    known names as a whole are those of the text at hand."""
 
     patterns: dict[tuple[str, str], str]
     things: set[tuple[str, str]]
     surnames: set[str]
     given: set[str]
     latin: set[str]
+    known: frozenset[str] = frozenset()
+    any_given: bool = True  # whether a part of a given name is known at all, sent everywhere or not
+
+
+class Rest(NamedTuple):
+    """What is looked up by a join: what (known, pattern or part), value and verdict, one row each."""
 
+    table: DataFrame
+    patterns: bool
+    parts: bool
 
-def learn(texts: DataFrame, names: DataFrame, rounds: int = ROUNDS) -> Knowledge:
+
+def learn(texts: DataFrame, names: DataFrame, rounds: int = ROUNDS) -> tuple[Knowledge, Rest]:
     """Score patterns and instances in rounds over all texts.
 
-    texts: text. names: name, the seeds. All tables that grow stay in Spark; the result is bounded by MOST.
+    texts: text. names: name, the seeds. All tables that grow stay in Spark: what is bounded by MOST
+    comes back as Knowledge, all else as Rest.
     """
     edges = texts.select("text").filter("text is not null").mapInPandas(_count_edges, _EDGE)
     edges = cut(edges.groupBy("kind", "pattern", "instance", "seed").agg(F.sum("n").alias("n")), "pii-edges")
     name = F.trim(F.lower("name"))
     of_names = edges.filter("kind = 'name'").select("pattern", "instance", "n")
-    known = names.select(name.alias("instance")).filter(r"instance rlike '^([가-힣]{3}|[a-z]+ [a-z]+)$'").distinct()
+    known = names.select(name.alias("instance")).filter(F.col("instance").rlike("^([가-힣]{2,4}|[a-z]+([-'][a-z]+)? [a-z]+([-'][a-z]+)?)$")).distinct()
     per_pattern = of_names.groupBy("pattern").agg(F.count("*").alias("n_instances"))
     good = None
     for k in range(rounds):
@@ -210,6 +225,7 @@ def learn(texts: DataFrame, names: DataFrame, rounds: int = ROUNDS) -> Knowledge
         known = cut(known.unionByName(more).distinct(), f"pii-known-{k}")
     total = good.agg(F.sum("seen")).first()[0] or 0
     patterns = {("name", r.pattern): "name" for r in good.filter(F.col("seen") >= total / MOST).collect()}
+    rare = good.filter(F.col("seen") < total / MOST).select(F.lit("name").alias("kind"), "pattern", F.lit("name").alias("verdict"))
     parts = known.join(of_names.select("instance").distinct(), "instance").select(
         F.explode(
             F.when(F.col("instance").rlike("^[가-힣]{3}$"), F.array(F.concat(F.lit("s"), F.left("instance", F.lit(1))), F.concat(F.lit("g"), F.right("instance", F.lit(2)))))
@@ -219,32 +235,87 @@ def learn(texts: DataFrame, names: DataFrame, rounds: int = ROUNDS) -> Knowledge
     )
     counted = cut(parts.groupBy("part").count(), "pii-parts")
     whole = counted.agg(F.sum("count")).first()[0] or 0
-    used = [r.part for r in counted.filter((F.col("count") >= 2) & (F.col("count") >= whole / MOST) & (F.length("part") > 1)).collect()]
+    counted = counted.filter((F.col("count") >= 2) & (F.length("part") > 1))
+    used = [r.part for r in counted.filter(F.col("count") >= whole / MOST).collect()]
+    rare_parts = counted.filter(F.col("count") < whole / MOST).select(F.lit("part").alias("what"), F.col("part").alias("value"), F.lit("name").alias("verdict"))
     # Numbers and mail: the share of each type in what a pattern holds.
     other = edges.filter("kind in ('number', 'mail')").groupBy("kind", "pattern").agg(
         F.sum("n").alias("n"), *(F.coalesce(F.sum(F.when(F.col("seed") == t, F.col("n"))), F.lit(0)).alias(t) for t in TYPES[:3])
     )
-    other = cut(other.filter(F.col("n") >= MIN_SUPPORT), "pii-other")
+    types = TYPES[:3]
+    most, all_types = F.greatest(*types), sum((F.col(t) for t in types[1:]), F.col(types[0]))
+    top = F.coalesce(*(F.when(F.col(t) == most, F.lit(t)) for t in types))
+    verdict = F.when((most >= MIN_SUPPORT) & (most / F.col("n") >= 0.8), top).when((F.col("n") >= THING_NUMBERS) & (all_types / F.col("n") < THING_SHARE), F.lit("thing"))
+    other = cut(other.filter(F.col("n") >= MIN_SUPPORT).withColumn("verdict", verdict), "pii-other")
     seen = other.agg(F.sum("n")).first()[0] or 0
     things: set[tuple[str, str]] = set()
-    for r in other.filter(F.col("n") >= seen / MOST).collect():
-        top = max(TYPES[:3], key=lambda t: r[t])
-        if r[top] >= MIN_SUPPORT and r[top] / r.n >= 0.8:
-            patterns[r.kind, r.pattern] = top
-        elif r.n >= THING_NUMBERS and sum(r[t] for t in TYPES[:3]) / r.n < THING_SHARE:
+    for r in other.filter((F.col("n") >= seen / MOST) & F.col("verdict").isNotNull()).collect():
+        if r.verdict == "thing":
             things.add((r.kind, r.pattern))
+        else:
+            patterns[r.kind, r.pattern] = r.verdict
+    rare = rare.unionByName(other.filter((F.col("n") < seen / MOST) & F.col("verdict").isNotNull()).select("kind", "pattern", "verdict"))
+    rare = rare.select(F.lit("pattern").alias("what"), F.concat_ws(SEPARATOR, "kind", "pattern").alias("value"), "verdict")
+    rest = known.select(F.lit("known").alias("what"), F.col("instance").alias("value"), F.lit("name").alias("verdict")).unionByName(rare).unionByName(rare_parts)
     of = {c: {p[1:] for p in used if p[0] == c} for c in "sgl"}
-    return Knowledge(patterns, things, of["s"], of["g"], of["l"])
+    any_given = bool(of["g"]) or not counted.filter(F.col("part").startswith("g")).isEmpty()
+    return Knowledge(patterns, things, of["s"], of["g"], of["l"], any_given=any_given), Rest(rest, not rare.isEmpty(), not rare_parts.isEmpty())
+
+
+def _parts(instance: str) -> list[str]:
+    if " " in instance:
+        return [f"l{w}" for w in instance.split()]
+    return [f"g{instance}"] if len(instance) == 2 else [f"s{instance[0]}", f"g{instance[1:]}"] if len(instance) == 3 else []
+
+
+def _honoured(s: Span, folded: str, tokens: list[re.Match], first: int, after: int) -> bool:
+    return folded[s.end:s.end + 1] == "님" or (after - 1 > first and tokens[after - 1][0] in HONORIFICS)
+
+
+def questions(text: str, k: Knowledge, patterns: bool, parts: bool) -> set[tuple[str, str]]:
+    """What (what, value) of a text k doesn't know and the rest may."""
+    folded = fold(text)
+    tokens = list(_TOKEN.finditer(folded))
+    asked: set[tuple[str, str]] = set()
+    for s, first, after in _name_spans(folded, tokens):
+        around = _patterns(tokens, first, after)
+        good = any(("name", p) in k.patterns for p in around)
+        if not good and patterns:
+            asked.update(("pattern", f"name{SEPARATOR}{p}") for p in around)
+        if (good or patterns) and not _is_name(s, folded, _honoured(s, folded, tokens, first, after), k):
+            asked.add(("known", s.instance))
+            asked.update(("part", p) for p in _parts(s.instance) if parts)
+    if patterns:
+        starts = [t.start() for t in tokens]
+        strict = strict_spans(folded)
+        for s in strict + _loose_spans(folded, strict):
+            asked.update(("pattern", f"{s.kind}{SEPARATOR}{p}") for p in _around(tokens, starts, s) if (s.kind, p) not in k.patterns and (s.kind, p) not in k.things)
+    return asked
+
+
+def with_answers(k: Knowledge, answers: list[str]) -> Knowledge:
+    """k and what the join found for a text: what, value and verdict in one string each."""
+    rows = [a.split(SEPARATOR, 1) for a in answers]
+    of = lambda what: [v for w, v in rows if w == what]
+    found = {tuple(v.rsplit(SEPARATOR, 1)[0].split(SEPARATOR, 1)): v.rsplit(SEPARATOR, 1)[1] for v in of("pattern")}
+    parts = [v.rsplit(SEPARATOR, 1)[0] for v in of("part")]
+    also = lambda c, had: ChainMap({p[1:]: None for p in parts if p[0] == c}, had) if any(p[0] == c for p in parts) else had
+    return Knowledge(
+        ChainMap({p: v for p, v in found.items() if v != "thing"}, k.patterns), ChainMap({p: None for p, v in found.items() if v == "thing"}, k.things),
+        also("s", k.surnames), also("g", k.given), also("l", k.latin), frozenset(v.rsplit(SEPARATOR, 1)[0] for v in of("known")), k.any_given,
+    )
 
 
 def _is_name(span: Span, folded: str, honoured: bool, k: Knowledge) -> bool:
     value = span.instance
+    if value in k.known:
+        return True
     if " " in value:
         words = value.split()
         return any(w in k.latin for w in words) and all(w in k.latin or len(w) == 1 or folded[span.start:span.end].istitle() for w in words)
     if len(value) == 2:
         return value in k.given
-    return len(value) == 3 and value[0] in k.surnames and (value[1:] in k.given or honoured or len(k.given) == 0)
+    return len(value) == 3 and value[0] in k.surnames and (value[1:] in k.given or honoured or not k.any_given)
 
 
 def find_spans(text: str, k: Knowledge) -> list[tuple[int, int, str]]:
@@ -268,7 +339,7 @@ def find_spans(text: str, k: Knowledge) -> list[tuple[int, int, str]]:
     for s, first, after in _name_spans(folded, tokens):
         if s.start < last or any(s.start < e and s.end > b for b, e, _ in out):
             continue
-        honoured = folded[s.end:s.end + 1] == "님" or (after - 1 > first and tokens[after - 1][0] in HONORIFICS)
+        honoured = _honoured(s, folded, tokens, first, after)
         if any(("name", p) in k.patterns for p in _patterns(tokens, first, after)) and _is_name(s, folded, honoured, k):
             out.append((s.start, s.end, "name"))
             last = s.end
@@ -293,19 +364,34 @@ def mask_personal(rows: DataFrame, names: DataFrame) -> DataFrame:
     Result: table_name, row_id, text (masked), pii_types (array of the types found, in order).
     """
     given = rows.select("table_name", F.col("row_id").cast("bigint").alias("row_id"), "text")
-    # Patterns and parts are bounded by MOST.
-    shared = rows.sparkSession.sparkContext.broadcast(learn(given, names))
+    # Patterns and parts are bounded by MOST; known names and all rarer ones are joined to the texts that ask.
+    knowledge, rest = learn(given, names)
+    shared = rows.sparkSession.sparkContext.broadcast(knowledge)
+    rare_patterns, rare_parts = rest.patterns, rest.parts
+    keyed = given.withColumn("_key", F.sha2("text", 256))
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            once = dict(zip(batch["_key"], batch["text"], strict=True))
+            out = [(key, *q) for key, t in once.items() if t for q in questions(t, shared.value, rare_patterns, rare_parts)]
+            yield pd.DataFrame(out, columns=["_key", "what", "value"])
+
+    asked = keyed.filter("text is not null").select("_key", "text").mapInPandas(ask, "_key string, what string, value string").distinct()
+    answers = asked.join(rest.table, ["what", "value"]).groupBy("_key").agg(F.collect_list(F.concat_ws(SEPARATOR, "what", "value", "verdict")).alias("answers"))
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         knowledge = shared.value
         for batch in batches:
-            once = {t: find_spans(t, knowledge) for t in {t for t in batch["text"] if t}}
+            # Equal texts have equal answers.
+            asked_of = {t: a for t, a in zip(batch["text"], batch["answers"], strict=True) if t}
+            once = {t: find_spans(t, knowledge if a is None else with_answers(knowledge, list(a))) for t, a in asked_of.items()}
             found = [once[t] if t else [] for t in batch["text"]]
             batch["text"] = [mask_text(t, s) if s else t for t, s in zip(batch["text"], found, strict=True)]
             batch["pii_types"] = [sorted({x[2] for x in s}) for s in found]
-            yield batch
+            yield batch[["table_name", "row_id", "text", "pii_types"]]
 
-    return given.mapInPandas(apply, "table_name string, row_id bigint, text string, pii_types array<string>")
+    told = keyed.join(answers, "_key", "left").select("table_name", "row_id", "text", "answers")
+    return told.mapInPandas(apply, "table_name string, row_id bigint, text string, pii_types array<string>")
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from quernlake.functions.text import shares_window
+from quernlake.llm import personal
 from quernlake.operators import chunking, graph, lexical
 from quernlake.plans import activity
 from quernlake.plans import graph as plans
@@ -89,3 +90,16 @@ def test_long_paragraphs_are_cut(spark):
     df = spark.createDataFrame([(t,) for t in [*texts, "", "x" * 70]], "t string")
     for r in df.select("t", chunking.packed_paragraphs(F.col("t"), 10, 3).alias("p")).collect():
         assert r.p == packed(r.t, 10, 3) and all(len(p) <= 10 for p in r.p)
+
+
+def test_known_names_with_rare_parts_are_masked(spark, monkeypatch):
+    common = [f"{s}{g}" for s in "김이박최" for g in ("하늘", "도담", "샛별", "온슬")]
+    rare = ["남궁", "제갈가온", "표누리", "zoe quill"]
+    texts = [f"정리는 {n} 담당이에요" for n in [*common, *rare]] + ["정리는 운영진 담당이에요", "표누리 보러 가요"]
+    rows = spark.createDataFrame([("t", n, t) for n, t in enumerate(texts)], "table_name string, row_id bigint, text string")
+    seeds = spark.createDataFrame([(n,) for n in common + rare], "name string")
+    for most in (personal.MOST, 0.5):
+        monkeypatch.setattr(personal, "MOST", most)  # 0.5: nothing is frequent enough to be sent everywhere
+        got = {r.row_id: r.text for r in personal.mask_personal(rows, seeds).collect()}
+        assert [got[n] for n in range(20)] == ["정리는 [NAME] 담당이에요"] * 20
+        assert got[20] == texts[20] and got[21] == texts[21]
