@@ -223,15 +223,23 @@ def store_alignment(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query()
 def knn_lsh(spark: SparkSession, d: str) -> DataFrame:
-    """V5: approximate neighbours of one vector by random projections."""
+    """V5: approximate neighbours of every vector whose id is divisible by 50, by random projections:
+    rows that share a bucket in any hash table are compared; hot buckets are dealt out."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    data = table(spark, d, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("raw"))
+    data = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), array_to_vector(F.col("embedding").cast("array<double>")).alias("raw"))
     unit = Normalizer(inputCol="raw", outputCol="v").transform(data)
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=0.5, numHashTables=8, seed=3).fit(unit)
-    key = unit.filter("vec_id = 0").first().v
-    return model.approxNearestNeighbors(unit, key, 10).select("vec_id", F.round("distCol", 6).alias("distance"))
+    hashed = model.transform(unit).select("id", F.posexplode("h").alias("t", "b"))
+    buckets = hashed.select("id", F.concat_ws(":", "t", vector_to_array("b")[0].cast("bigint")).alias("bucket"))
+    asked = buckets.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "bucket")
+    pairs = G.meet(buckets, asked, "bucket", "id").filter("id <> query_id").select("query_id", "id").distinct()
+    vectors = unit.select("id", vector_to_array("v").alias("x"))
+    held = pairs.join(vectors, "id").join(vectors.select(F.col("id").alias("query_id"), F.col("x").alias("y")), "query_id")
+    distance = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, z: t + z))
+    far = held.select("query_id", "id", F.round(distance, 6).alias("distance"))
+    return rank.top_k(far, ["query_id"], [F.col("distance"), F.col("id")], 10, "id").select("query_id", "id", "distance", "rank")
 
 
 @R.query("""SELECT id, name, coalesce(alias, name) AS canonical FROM (SELECT id, min(lower(name)) AS name FROM kg_entities GROUP BY id) LEFT JOIN (SELECT regexp_replace(lower(name), ',? ?(inc|co|ltd)\\.', '', 'g') AS alias, lower(name) AS name FROM (SELECT DISTINCT name FROM kg_entities WHERE entity_type = 'organization') GROUP BY ALL) USING (name)""")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quernlake.functions.text import shares_window
 from quernlake.llm import personal
 from quernlake.operators import chunking, graph, lexical
-from quernlake.plans import activity
+from quernlake.plans import activity, further, search
 from quernlake.plans import graph as plans
 
 
@@ -103,3 +103,11 @@ def test_known_names_with_rare_parts_are_masked(spark, monkeypatch):
         got = {r.row_id: r.text for r in personal.mask_personal(rows, seeds).collect()}
         assert [got[n] for n in range(20)] == ["정리는 [NAME] 담당이에요"] * 20
         assert got[20] == texts[20] and got[21] == texts[21]
+
+
+def test_lsh_finds_what_exact_search_finds(spark, data):
+    exact = {(r.query_id, r.id) for r in search.knn_exact(spark, data).collect()}
+    got = further.knn_lsh(spark, data).collect()
+    assert {r.query_id for r in got} == {q for q, _ in exact} and max(r["rank"] for r in got) == 10
+    assert len(exact & {(r.query_id, r.id) for r in got}) >= 0.9 * len(exact)
+    print(len(exact & {(r.query_id, r.id) for r in got}), len(exact), len(got))
