@@ -9,14 +9,19 @@ from pyspark.sql import functions as F
 
 WORDS = r"[0-9A-Za-z가-힣]+"
 
-#: The ordered masking rules, label and pattern; earlier ones change what later ones see.
+# The numbering plan: what stands behind the leading zero of mobile numbers, of places and of services.
+_MOBILE, _AREA, _SERVICE = "1[016-9]", "(?:2|3[1-3]|4[1-4]|5[1-5]|6[1-4])", "(?:50[0-9]|70|80)"
+_BIRTH = "[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])"
+_JOIN = "[ .-]?"
+#: Masking rules in order, label and pattern: earlier ones change what later ones see.
 MASKS: tuple[tuple[str, str], ...] = (
-    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
-    ("resident", r"\b[0-9]{6} ?- ?[1-8][0-9]{6}\b"),
-    ("card", r"\b[0-9]{4}[- ][0-9]{4}[- ][0-9]{4}[- ][0-9]{4}\b"),
-    ("mobile", r"\b01[016789][-. ]?[0-9]{3,4}[-. ]?[0-9]{4}\b"),
-    ("landline", r"\b0[2-6][0-9]?[-. ][0-9]{3,4}[-. ][0-9]{4}\b"),
-    ("number", r"\b[0-9]{10,14}\b"),
+    ("email", r"\b[\w.+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"),
+    ("resident", rf"\b{_BIRTH} ?-? ?[0-9][0-9]{{6}}\b"),
+    ("card", rf"\b(?:[0-9]{{4}}{_JOIN}){{3}}[0-9]{{4}}\b"),
+    ("mobile", rf"\b0{_MOBILE}{_JOIN}[0-9]{{3,4}}{_JOIN}[0-9]{{4}}\b"),
+    ("landline", rf"\b0(?:{_AREA}|{_SERVICE})[ .-][0-9]{{3,4}}[ .-][0-9]{{4}}\b"),
+    ("account", r"\b[0-9]{2,6}(?:-[0-9]{2,7}){2,3}\b"),
+    ("number", r"\b[0-9]{10,16}\b"),
 )
 #: Secrets that are cut out of logs.
 SECRETS: tuple[tuple[str, str], ...] = (

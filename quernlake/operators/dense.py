@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernlake.operators.ranking import top_k
 
-#: Queries per block: what is sent to all tasks at a time.
-BLOCK = 4096
+#: Queries and rows that meet in one task.
+BLOCK_QUERIES, BLOCK_ROWS = 1024, 16_384
 
 
 def norm(v: Column) -> Column:
@@ -38,44 +37,46 @@ def vector_faults(v: Column, dimensions: int) -> Column:
 def nearest(queries: DataFrame, data: DataFrame, k: int, metric: str = "cosine", exclude_self: bool = True) -> DataFrame:
     """The k rows of data most alike to each query, exactly, by cosine or dot product.
 
-    queries: query_id, vector. data: id, vector. The queries are taken in blocks of BLOCK, each scanned
-    against all data in one pass that keeps k rows a query and batch.
+    queries: query_id, vector. data: id, vector. Each block of BLOCK_QUERIES queries meets each block of
+    BLOCK_ROWS rows in one task, so that neither side passes through the driver or is sent everywhere
+    as a whole: n / BLOCK_ROWS copies of the queries and m / BLOCK_QUERIES of the data are exchanged.
+    Null, short, long, zero and not finite vectors take no part; no rows give no rows.
 
     Result: query_id, id, score, rank.
     """
-    spark = data.sparkSession
-    n = queries.count()
-    numbered = queries.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // BLOCK)))))
-    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {data.schema['id'].dataType.simpleString()}, score double"
-    parts = None
-    for b in range(max(1, -(-n // BLOCK))):
-        block = numbered.filter(F.col("_b") == b).select("query_id", "vector").collect()
-        shared = spark.sparkContext.broadcast((np.array([r.query_id for r in block], dtype=object), np.array([r.vector for r in block], dtype=np.float64)))
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
-            if not len(q):
-                return
-            if metric == "cosine":
-                q = q / np.linalg.norm(q, axis=1, keepdims=True)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                if metric == "cosine":
-                    x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                s = q @ x.T
-                own = np.array(batch.column("id").to_pylist(), dtype=object)
-                if exclude_self:
-                    s[ids[:, None] == own[None, :]] = -np.inf
-                m = min(k, s.shape[1])
-                top = np.argpartition(-s, m - 1, axis=1)[:, :m]
-                # All rows equal to the last kept one stay in, so that ties are settled by id.
-                least = np.take_along_axis(s, top, 1).min(1)
-                i, j = np.nonzero((s >= least[:, None] - 1e-9) & np.isfinite(s))
-                yield pa.RecordBatch.from_arrays([pa.array(list(ids[i])), batch.column("id").take(pa.array(j)), pa.array(s[i, j])], names=["query_id", "id", "score"])
-
-        out = data.select("id", "vector").mapInArrow(scan, schema)
-        parts = out if parts is None else parts.unionByName(out)
+    sample = data.filter("vector is not null").select(F.size("vector").alias("s")).groupBy("s").count().orderBy(F.desc("count"), "s").first()
+    width = sample.s if sample else 0
+    fine = lambda df: df.filter(vector_faults(F.col("vector"), width).isNull())
+    q, x = fine(queries.select("query_id", "vector")), fine(data.select("id", "vector"))
+    q_blocks, x_blocks = max(1, -(-q.count() // BLOCK_QUERIES)), max(1, -(-x.count() // BLOCK_ROWS))
+    null = F.lit(None)
+    every = lambda n: F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
+    shape = {"query_id": queries.schema["query_id"].dataType, "id": data.schema["id"].dataType}
+    of_q = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks))).select("qb", F.explode(every(x_blocks)).alias("xb"), "query_id", null.cast(shape["id"]).alias("id"), F.lit(True).alias("asks"), F.col("vector").cast("array<double>").alias("vector"))
+    of_x = x.withColumn("xb", F.pmod(F.xxhash64("id"), F.lit(x_blocks))).select(F.explode(every(q_blocks)).alias("qb"), "xb", null.cast(shape["query_id"]).alias("query_id"), "id", F.lit(False).alias("asks"), F.col("vector").cast("array<double>").alias("vector"))
+
+    def scan(group: pa.Table) -> pa.Table:
+        asks = group.column("asks").combine_chunks()
+        mine, theirs = group.filter(asks), group.filter(pc.invert(asks))
+        ids, own = mine.column("query_id").combine_chunks(), theirs.column("id").combine_chunks()
+        if not len(ids) or not len(own):
+            return pa.table({"query_id": ids[:0], "id": own[:0], "score": pa.array([], pa.float64())})
+        a, b = (np.asarray(t.column("vector").combine_chunks().flatten()).reshape(t.num_rows, -1) for t in (mine, theirs))
+        if metric == "cosine":
+            a, b = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (a, b))
+        s = a @ b.T
+        if exclude_self:
+            at = {v: n for n, v in enumerate(own.to_pylist())}
+            for n, v in enumerate(ids.to_pylist()):
+                if v in at:
+                    s[n, at[v]] = -np.inf
+        m = min(k, s.shape[1])
+        least = -np.partition(-s, m - 1, axis=1)[:, m - 1]
+        # All rows equal to the last kept one stay in, so that ties are settled by id.
+        i, j = np.nonzero((s >= least[:, None] - 1e-9) & np.isfinite(s))
+        return pa.table({"query_id": ids.take(pa.array(i)), "id": own.take(pa.array(j)), "score": pa.array(s[i, j])})
+
+    schema = f"query_id {shape['query_id'].simpleString()}, id {shape['id'].simpleString()}, score double"
+    parts = of_q.unionByName(of_x).groupBy("qb", "xb").applyInArrow(scan, schema)
     rounded = parts.withColumn("score", F.round("score", 6))
     return top_k(rounded, ["query_id"], [F.desc("score"), F.col("id")], k, "id")

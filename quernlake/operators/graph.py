@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,11 +73,12 @@ def expand(edges: DataFrame, seeds: DataFrame, rounds: int) -> DataFrame:
     return seen
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """node, component (its smallest node): smallest label of the neighbours and shortcut, in rounds."""
+def components(edges: DataFrame) -> DataFrame:
+    """node, component (its smallest node): smallest label of the neighbours and shortcut, in rounds
+    until no label changes."""
     near = cut(undirected(edges), "cc-near")
     nodes = cut(near.groupBy("node").agg(F.least(F.first("node"), F.min("other")).alias("component")), "cc-0")
-    for k in range(1, most_rounds + 1):
+    for k in itertools.count(1):
         least = near.join(nodes.select(F.col("node").alias("other"), "component"), "other").groupBy("node").agg(F.min("component").alias("least"))
         hop = nodes.select(F.col("node").alias("component"), F.col("component").alias("lower"))
         step = nodes.join(least, "node").join(hop, "component", "left")

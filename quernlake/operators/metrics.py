@@ -31,6 +31,23 @@ def retrieval_metrics(ranking: DataFrame, relevance: DataFrame, k: int, empty: s
     )
 
 
+def counted_metrics(ranking: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
+    """As retrieval_metrics where documents are relevant or not and only their number is known.
+
+    ranking: query_id, doc_id, rank, relevant (each document once); sizes: query_id, n_gold. What is
+    relevant but not ranked never has to be listed.
+    """
+    gain = F.when(F.col("relevant") & (F.col("rank") <= k), 1 / F.log2(F.col("rank") + 1))
+    hits = ranking.groupBy("query_id").agg(F.count(gain).alias("n_hit"), F.min(F.when(gain.isNotNull(), F.col("rank"))).alias("first_rank"), F.sum(gain).alias("dcg"))
+    best = F.aggregate(F.sequence(F.lit(1), F.least("n_gold", F.lit(k)).cast("int")), F.lit(0.0), lambda a, r: a + 1 / F.log2(r + 1))
+    n = F.coalesce(F.col("n_gold"), F.lit(0))
+    joined = hits.join(sizes, "query_id", "left")
+    return joined.select(
+        "query_id", F.when(n > 0, F.round(F.col("n_hit") / n, 6)).alias("recall"), F.round(F.col("n_hit") / k, 6).alias("precision"), (F.col("n_hit") > 0).alias("hit"),
+        F.coalesce(F.round(1 / F.col("first_rank"), 6), F.lit(0.0)).alias("reciprocal_rank"), F.when(n > 0, F.round(F.coalesce("dcg", F.lit(0.0)) / best, 6)).alias("ndcg"), F.col("first_rank").cast("bigint").alias("first_rank"),
+    )
+
+
 def evidence_recall(ranking: DataFrame, groups: DataFrame, k: int) -> DataFrame:
     """groups: query_id, evidence_id, doc_id: an evidence is found with any of its documents in the
     first k. Result: query_id, evidence_recall, all_evidence."""

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quernlake.session import cut
+
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, salt_by: str, salts: int = 64, rank: str = "rank") -> DataFrame:
     """The first k rows of each key with their rank. Keys may hold any share of the rows: each is cut
@@ -15,6 +17,16 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, salt_by:
     return part.withColumn(rank, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col(rank) <= k).drop("_salt", "_r")
 
 
+def numbered(df: DataFrame, order: list[Column], column: str = "rank") -> DataFrame:
+    """All rows numbered from 1 in one total order without one task seeing them all: ranges are written,
+    numbered apart and moved by the sizes of those before them (a row a range is sent everywhere)."""
+    parts = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "numbered")
+    sizes = parts.groupBy("_part").count()
+    before = sizes.select("_part", (F.sum("count").over(W.orderBy("_part")) - F.col("count")).alias("_before"))
+    within = parts.withColumn("_r", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
+    return within.join(F.broadcast(before), "_part").withColumn(column, F.col("_before") + F.col("_r")).drop("_part", "_before", "_r")
+
+
 def reciprocal_rank_fusion(lists: DataFrame, c: int = 60, tie: str = "id") -> DataFrame:
     """Sum of 1 / (c + rank) over the methods that list a document; a document a method lists twice
     counts with its best rank. Ties go by id, by the best rank or by the number of methods, then by id.

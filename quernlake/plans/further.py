@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quernlake.functions import text as X
 from quernlake.operators import graph as G
 from quernlake.operators import knowledge as K
 from quernlake.operators import ranking as rank
-from quernlake.plans.graph import _E, _edges, _entities, _whole
+from quernlake.plans.graph import _E, _edges, _entities
 from quernlake.plans.registry import Registry
 from quernlake.session import table
 
@@ -58,10 +57,10 @@ def query_strings(spark: SparkSession, d: str) -> DataFrame:
  r AS (SELECT member_id, row_number() OVER (ORDER BY n DESC, member_id) AS rn, row_number() OVER (ORDER BY chars DESC, member_id) AS rc FROM s)
  SELECT member_id, round(1.0 / (60 + rn) + 1.0 / (60 + rc), 9) AS score FROM r""")
 def popularity_rrf(spark: SparkSession, d: str) -> DataFrame:
-    """two signals of popularity fused by rank, among those that qualify; a row a member is ranked."""
+    """two signals of popularity fused by rank, among those that qualify."""
     s = table(spark, d, "documents").groupBy("member_id").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars")).filter("n >= 3")
-    by = lambda c: F.row_number().over(W.orderBy(F.desc(c), "member_id"))
-    return s.select("member_id", F.round(1.0 / (60 + by("n")) + 1.0 / (60 + by("chars")), 9).alias("score"))
+    ranked = rank.numbered(rank.numbered(s, [F.desc("n"), F.col("member_id")], "rn"), [F.desc("chars"), F.col("member_id")], "rc")
+    return ranked.select("member_id", F.round(1.0 / (60 + F.col("rn")) + 1.0 / (60 + F.col("rc")), 9).alias("score"))
 
 
 @R.query(_E + """SELECT edge_id, CAST(3 * CAST(contains(lower(x.evidence), lower(a.label)) AS INT) + 3 * CAST(contains(lower(x.evidence), lower(b.label)) AS INT) + 2 * CAST(c.id IS NOT NULL AS INT) AS BIGINT) AS score
@@ -87,15 +86,11 @@ def first_non_null(spark: SparkSession, d: str) -> DataFrame:
 @R.query("""WITH e AS (SELECT entity_id, min(loaded_at) AS t FROM entities GROUP BY entity_id), old AS (SELECT entity_id, row_number() OVER (ORDER BY entity_id) AS number FROM e WHERE t < TIMESTAMPTZ '2015-01-15 00:00:00+00')
  SELECT entity_id, number FROM old UNION ALL SELECT entity_id, (SELECT max(number) FROM old) + row_number() OVER (ORDER BY t, entity_id) FROM e WHERE t >= TIMESTAMPTZ '2015-01-15 00:00:00+00'""")
 def appended_numbers(spark: SparkSession, d: str) -> DataFrame:
-    """Numbers that are given stay, new ones follow by date. Ranges are numbered apart and offset by
-    the sizes of those before, so no task sorts all ids."""
+    """Numbers that are given stay, new ones follow by date."""
     e = table(spark, d, "entities").groupBy("entity_id").agg(F.min("loaded_at").alias("t"))
     new = F.col("t") >= F.lit("2015-01-15 00:00:00").cast("timestamp")
-    keyed = e.withColumn("stage", new.cast("int")).withColumn("key", F.when(new, F.date_format("t", "yyyy-MM-dd HH")).otherwise(F.regexp_replace("entity_id", ".{3}$", "")))
-    sizes = keyed.groupBy("stage", "key").count()
-    before = sizes.withColumn("before", F.coalesce(F.sum("count").over(W.orderBy("stage", "key").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    within = F.row_number().over(W.partitionBy("stage", "key").orderBy(F.when(F.col("stage") == 1, F.col("t")), "entity_id"))
-    return keyed.withColumn("r", within).join(before, ["stage", "key"]).select("entity_id", (F.col("before") + F.col("r")).alias("number"))
+    order = [F.col("new"), F.when(F.col("new"), F.col("t")), F.col("entity_id")]
+    return rank.numbered(e.withColumn("new", new), order, "number").select("entity_id", "number")
 
 
 @R.query(_E + """, gone AS (SELECT entity_id FROM entities GROUP BY entity_id HAVING count(*) = count(deleted_at)) SELECT rel, count(*) AS n_lost, count(DISTINCT src) AS n_subjects FROM e WHERE src IN (SELECT entity_id FROM gone) OR dst IN (SELECT entity_id FROM gone) GROUP BY rel""")
@@ -127,17 +122,10 @@ def neighbour_summaries(spark: SparkSession, d: str) -> DataFrame:
     return top.select("node", "other", "degree", "place")
 
 
-@R.query(_E + """, p AS (SELECT DISTINCT src, dst FROM calm), cand AS (SELECT a.src AS node, c.dst AS suggestion, count(DISTINCT a.dst) AS n_shared FROM p a JOIN p b ON a.dst = b.dst AND a.src <> b.src JOIN p c ON c.src = b.src AND c.dst <> a.src
+@R.query(_E + """, p AS (SELECT DISTINCT src, dst FROM e), cand AS (SELECT a.src AS node, c.dst AS suggestion, count(DISTINCT a.dst) AS n_shared FROM p a JOIN p b ON a.dst = b.dst AND a.src <> b.src JOIN p c ON c.src = b.src AND c.dst <> a.src
   WHERE NOT EXISTS (SELECT 1 FROM p o WHERE o.src = a.src AND o.dst = c.dst) GROUP BY ALL)
  SELECT node, suggestion, n_shared, place FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY n_shared DESC, suggestion) AS place FROM cand) WHERE place <= 3""")
 def recommendations(spark: SparkSession, d: str) -> DataFrame:
-    """What nodes with a common neighbour have and a node has not; hubs, which would make all
-    pairs of their neighbours, aren't expanded."""
-    return _recommendations(G.without_hubs(_edges(spark, d), 20))
-
-
-@R.query(_whole(SQL["recommendations"]))
-def recommendations_all(spark: SparkSession, d: str) -> DataFrame:
     """What nodes with a common neighbour have and a node has not, through every node."""
     return _recommendations(_edges(spark, d))
 
@@ -153,11 +141,10 @@ def _recommendations(edges: DataFrame) -> DataFrame:
     return top.select("node", "suggestion", "n_shared", "place")
 
 
-@R.query(_E + """SELECT src, rel, left(string_agg(DISTINCT dst, ', ' ORDER BY dst), 800) AS facts, count(DISTINCT dst) AS n FROM calm GROUP BY src, rel""")
+@R.query(_E + """SELECT src, rel, left(string_agg(DISTINCT dst, ', ' ORDER BY dst), 800) AS facts, count(DISTINCT dst) AS n FROM e GROUP BY src, rel""")
 def fact_blocks(spark: SparkSession, d: str) -> DataFrame:
     """Facts of a node by relation, up to 800 characters."""
-    calm = G.without_hubs(_edges(spark, d), 20)
-    g = calm.groupBy("src", "rel").agg(F.array_sort(F.collect_set("dst")).alias("o"))
+    g = _edges(spark, d).groupBy("src", "rel").agg(F.array_sort(F.collect_set("dst")).alias("o"))
     return g.select("src", "rel", F.left(F.array_join("o", ", "), F.lit(800)).alias("facts"), F.size("o").cast("bigint").alias("n"))
 
 
@@ -191,10 +178,10 @@ def merged_tags(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query("""SELECT 'C' || lpad(CAST(row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR))) AS VARCHAR), 5, '0') AS code, doc_id FROM documents WHERE source = 'repo'""")
 def blinded_pool(spark: SparkSession, d: str) -> DataFrame:
-    """A pool for judging under codes that don't tell the order; a pool is small by nature."""
+    """A pool for judging under codes that don't tell the order."""
     pool = table(spark, d, "documents").filter("source = 'repo'").select("doc_id")
-    code = F.row_number().over(W.orderBy(F.md5(F.col("doc_id").cast("string"))))
-    return pool.select(F.concat(F.lit("C"), F.lpad(code.cast("string"), 5, "0")).alias("code"), "doc_id")
+    coded = rank.numbered(pool, [F.md5(F.col("doc_id").cast("string"))], "code")
+    return coded.select(F.concat(F.lit("C"), F.lpad(F.col("code").cast("string"), 5, "0")).alias("code"), "doc_id")
 
 
 @R.query("""SELECT t.room_id, t.name, count(m.id) AS n_messages, coalesce(any_value(t.speaker_role), 'unknown') AS role FROM (SELECT room_id, id, min(name) AS name, min(speaker_role) AS speaker_role FROM members GROUP BY ALL) t LEFT JOIN messages m ON m.room_id = t.room_id AND m.sender_id = t.id GROUP BY t.room_id, t.id, t.name""")
@@ -205,11 +192,11 @@ def member_totals(spark: SparkSession, d: str) -> DataFrame:
     return who.join(said, ["room_id", "id"], "left").select("room_id", "name", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_messages"), F.coalesce("r", F.lit("unknown")).alias("role"))
 
 
-@R.query("""SELECT edge_id, count(*) AS n_evidence, count(DISTINCT chunk_id) AS n_chunks, min(source) AS source, max(left(evidence, 60)) AS cut FROM (SELECT DISTINCT id, edge_id, chunk_id, source, evidence FROM kg_evidence) GROUP BY edge_id""")
+@R.query("""SELECT edge_id, count(*) AS n_evidence, count(DISTINCT chunk_id) AS n_chunks, min(source) AS source, max(evidence) AS last_evidence FROM (SELECT DISTINCT id, edge_id, chunk_id, source, evidence FROM kg_evidence) GROUP BY edge_id""")
 def evidence_hydration(spark: SparkSession, d: str) -> DataFrame:
     """Z3: evidence of edges, each delivered row once."""
     e = table(spark, d, "kg_evidence").select("id", "edge_id", "chunk_id", "source", "evidence").distinct()
-    return e.groupBy("edge_id").agg(F.count("*").alias("n_evidence"), F.count_distinct("chunk_id").alias("n_chunks"), F.min("source").alias("source"), F.max(F.left("evidence", F.lit(60))).alias("cut"))
+    return e.groupBy("edge_id").agg(F.count("*").alias("n_evidence"), F.count_distinct("chunk_id").alias("n_chunks"), F.min("source").alias("source"), F.max("evidence").alias("last_evidence"))
 
 
 @R.query("""SELECT k.id, k.name, coalesce(c.n, 0) AS n_edges FROM (SELECT id, min(name) AS name FROM kg_entities GROUP BY id) k LEFT JOIN (SELECT node, count(*) AS n FROM (SELECT DISTINCT id, subject_id AS node FROM kg_edges UNION SELECT DISTINCT id, object_id FROM kg_edges) GROUP BY node) c ON c.node = k.id""")

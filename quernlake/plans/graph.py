@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quernlake.operators import graph as G
 from quernlake.operators import knowledge as K
+from quernlake.operators import ranking as rank
 from quernlake.plans.registry import Registry
 from quernlake.session import table
 
@@ -17,18 +17,7 @@ QUERIES, SQL = R.queries, R.sql
 # Delivered once, with an object.
 _E = """WITH e AS (SELECT id AS edge_id, subject AS src, predicate AS rel, object AS dst FROM (SELECT DISTINCT id, subject, predicate, object FROM edges) WHERE object IS NOT NULL AND regexp_matches(object, '\\S')),
  near AS (SELECT DISTINCT * FROM (SELECT src AS node, dst AS other FROM e WHERE src <> dst UNION ALL SELECT dst, src FROM e WHERE src <> dst)),
- hubs AS (SELECT node FROM near GROUP BY node HAVING count(*) > 20), ents AS (SELECT entity_id, min(entity_type) AS entity_type, min(label) AS label FROM entities GROUP BY entity_id),
- calm AS (SELECT * FROM e WHERE src NOT IN (SELECT node FROM hubs) AND dst NOT IN (SELECT node FROM hubs)) """
-
-
-_HUB_STOP = " WHERE src NOT IN (SELECT node FROM hubs) AND dst NOT IN (SELECT node FROM hubs)"
-
-
-def _whole(sql: str) -> str:
-    """The SQL of a hub-stopped query over all edges."""
-    if _HUB_STOP not in sql:
-        raise ValueError("no hub stop in this SQL")
-    return sql.replace(_HUB_STOP, "")
+ ents AS (SELECT entity_id, min(entity_type) AS entity_type, min(label) AS label FROM entities GROUP BY entity_id) """
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
@@ -65,14 +54,8 @@ def schema_discovery(spark: SparkSession, d: str) -> DataFrame:
     return kv.groupBy("entity_type", "key").agg(F.count("*").alias("n"), F.count(F.nullif("v", F.lit(""))).alias("n_filled"))
 
 
-@R.query(_E + "SELECT x.src AS project, y.dst AS organization, count(*) AS n, min(x.rel || '/' || y.rel) AS chain FROM calm x JOIN calm y ON x.dst = y.src JOIN ents p ON p.entity_id = x.src AND p.entity_type = 'project' JOIN ents o ON o.entity_id = y.dst AND o.entity_type = 'organization' GROUP BY ALL")
+@R.query(_E + "SELECT x.src AS project, y.dst AS organization, count(*) AS n, min(x.rel || '/' || y.rel) AS chain FROM e x JOIN e y ON x.dst = y.src JOIN ents p ON p.entity_id = x.src AND p.entity_type = 'project' JOIN ents o ON o.entity_id = y.dst AND o.entity_type = 'organization' GROUP BY ALL")
 def two_hop(spark: SparkSession, d: str) -> DataFrame:
-    """A pattern of two edges between types, hubs left out."""
-    return _two_hop(spark, d, G.without_hubs(_edges(spark, d), 20))
-
-
-@R.query(_whole(SQL["two_hop"]))
-def two_hop_all(spark: SparkSession, d: str) -> DataFrame:
     """A pattern of two edges between types, through every node."""
     return _two_hop(spark, d, _edges(spark, d))
 
@@ -87,14 +70,8 @@ def _two_hop(spark: SparkSession, d: str, edges: DataFrame) -> DataFrame:
     return G.meet(x, y, "mid", "src").groupBy(F.col("src").alias("project"), F.col("dst").alias("organization")).agg(F.sum(F.col("n1") * F.col("n2")).alias("n"), F.min(F.concat_ws("/", "r1", "r2")).alias("chain"))
 
 
-@R.query(_E + ", pairs AS (SELECT DISTINCT src, dst FROM calm) SELECT a.src AS a, b.src AS b, count(*) AS n_shared FROM pairs a JOIN pairs b ON a.dst = b.dst AND a.src < b.src GROUP BY ALL HAVING count(*) > 1")
+@R.query(_E + ", pairs AS (SELECT DISTINCT src, dst FROM e) SELECT a.src AS a, b.src AS b, count(*) AS n_shared FROM pairs a JOIN pairs b ON a.dst = b.dst AND a.src < b.src GROUP BY ALL HAVING count(*) > 1")
 def shared_neighbor(spark: SparkSession, d: str) -> DataFrame:
-    """Nodes with more than one neighbour in common; a neighbour has at most twenty, hubs being out."""
-    return _shared_neighbor(G.without_hubs(_edges(spark, d), 20))
-
-
-@R.query(_whole(SQL["shared_neighbor"]))
-def shared_neighbor_all(spark: SparkSession, d: str) -> DataFrame:
     """Nodes with more than one neighbour in common, however many share it."""
     return _shared_neighbor(_edges(spark, d))
 
@@ -128,16 +105,10 @@ def evidence_agg(spark: SparkSession, d: str) -> DataFrame:
     return g.agg(F.count_distinct("chunk_id").alias("n_chunks"), F.round(F.max("confidence").cast("double"), 6).alias("best"), F.array_join(F.array_sort(F.collect_set("extraction_run")), ",").alias("runs")).filter("n_chunks > 1")
 
 
-@R.query(_E.replace("WITH", "WITH RECURSIVE", 1) + """, walk AS (SELECT src AS start, dst AS "end", [src, dst] AS nodes, rel AS rels, 1 AS hops FROM calm JOIN ents ON entity_id = src AND entity_type = 'project' WHERE src <> dst
- UNION ALL SELECT w.start, c.dst, list_append(w.nodes, c.dst), w.rels || '/' || c.rel, w.hops + 1 FROM walk w JOIN calm c ON c.src = w."end" AND NOT list_contains(w.nodes, c.dst) WHERE w.hops < 3)
+@R.query(_E.replace("WITH", "WITH RECURSIVE", 1) + """, walk AS (SELECT src AS start, dst AS "end", [src, dst] AS nodes, rel AS rels, 1 AS hops FROM e JOIN ents ON entity_id = src AND entity_type = 'project' WHERE src <> dst
+ UNION ALL SELECT w.start, c.dst, list_append(w.nodes, c.dst), w.rels || '/' || c.rel, w.hops + 1 FROM walk w JOIN e c ON c.src = w."end" AND NOT list_contains(w.nodes, c.dst) WHERE w.hops < 3)
  SELECT start, "end", hops, count(*) AS n, min(rels) AS first_chain FROM walk GROUP BY ALL""")
 def var_paths_1_3(spark: SparkSession, d: str) -> DataFrame:
-    """Paths of one to three edges that pass no node twice, hubs left out."""
-    return _var_paths(spark, d, G.without_hubs(_edges(spark, d), 20))
-
-
-@R.query(_whole(SQL["var_paths_1_3"]))
-def var_paths_1_3_all(spark: SparkSession, d: str) -> DataFrame:
     """Paths of one to three edges that pass no node twice."""
     return _var_paths(spark, d, _edges(spark, d))
 
@@ -147,16 +118,10 @@ def _var_paths(spark: SparkSession, d: str, edges: DataFrame) -> DataFrame:
     return found.groupBy("start", "end", "hops").agg(F.count("*").alias("n"), F.min(F.array_join("rels", "/")).alias("first_chain"))
 
 
-@R.query(_E.replace("WITH", "WITH RECURSIVE", 1) + """, walk AS (SELECT src AS start, dst AS "end", [edge_id] AS ids, 1 AS hops FROM calm JOIN ents ON entity_id = src AND entity_type = 'project'
- UNION ALL SELECT w.start, c.dst, list_append(w.ids, c.edge_id), w.hops + 1 FROM walk w JOIN calm c ON c.src = w."end" AND NOT list_contains(w.ids, c.edge_id) WHERE w.hops < 3)
+@R.query(_E.replace("WITH", "WITH RECURSIVE", 1) + """, walk AS (SELECT src AS start, dst AS "end", [edge_id] AS ids, 1 AS hops FROM e JOIN ents ON entity_id = src AND entity_type = 'project'
+ UNION ALL SELECT w.start, c.dst, list_append(w.ids, c.edge_id), w.hops + 1 FROM walk w JOIN e c ON c.src = w."end" AND NOT list_contains(w.ids, c.edge_id) WHERE w.hops < 3)
  SELECT start, hops, count(*) AS n, count(DISTINCT "end") AS n_ends FROM walk GROUP BY ALL""")
 def trails_1_3(spark: SparkSession, d: str) -> DataFrame:
-    """Paths that pass no edge twice, hubs left out."""
-    return _trails(spark, d, G.without_hubs(_edges(spark, d), 20))
-
-
-@R.query(_whole(SQL["trails_1_3"]))
-def trails_1_3_all(spark: SparkSession, d: str) -> DataFrame:
     """Paths that pass no edge twice."""
     return _trails(spark, d, _edges(spark, d))
 
@@ -167,10 +132,10 @@ def _trails(spark: SparkSession, d: str, edges: DataFrame) -> DataFrame:
 
 
 _BFS = _E.replace("WITH", "WITH RECURSIVE", 1) + """, seeds AS (SELECT subject AS node FROM edges WHERE predicate = 'CREATED' OR predicate = 'MENTIONS' GROUP BY subject HAVING count(*) >= 3),
- reach AS (SELECT node, 0 AS r FROM seeds UNION SELECT n.other, reach.r + 1 FROM reach JOIN near n ON n.node = reach.node WHERE reach.r < 2), bfs AS (SELECT node, min(r) AS round FROM reach GROUP BY node) """
+ reach AS (SELECT node, 0 AS r FROM seeds UNION SELECT n.other, reach.r + 1 FROM reach JOIN near n ON n.node = reach.node WHERE reach.r < 3), bfs AS (SELECT node, min(r) AS round FROM reach GROUP BY node) """
 
 
-def _bfs(spark: SparkSession, d: str, rounds: int = 2) -> DataFrame:
+def _bfs(spark: SparkSession, d: str, rounds: int = 3) -> DataFrame:
     raw = table(spark, d, "edges").filter("predicate in ('CREATED', 'MENTIONS')")
     seeds = raw.groupBy(F.col("subject").alias("node")).count().filter("count >= 3").select("node")
     return G.expand(_edges(spark, d), seeds, rounds)
@@ -178,25 +143,12 @@ def _bfs(spark: SparkSession, d: str, rounds: int = 2) -> DataFrame:
 
 @R.query(_BFS + "SELECT node, CAST(round AS BIGINT) AS round FROM bfs")
 def bfs_expand(spark: SparkSession, d: str) -> DataFrame:
-    """Expansion by two rounds."""
+    """Expansion by three rounds."""
     return _bfs(spark, d).select("node", F.col("round").cast("bigint").alias("round"))
 
 
 @R.query(_BFS + "SELECT rel, count(*) AS n FROM e WHERE src IN (SELECT node FROM bfs) AND dst IN (SELECT node FROM bfs) GROUP BY rel")
 def induced_subgraph(spark: SparkSession, d: str) -> DataFrame:
-    """The edges inside what was reached in two rounds."""
-    return _induced(spark, d, 2)
-
-
-# As the reference: three rounds, and topics of at least two members.
-@R.query(SQL["bfs_expand"].replace("reach.r < 2", "reach.r < 3"))
-def bfs_expand_3(spark: SparkSession, d: str) -> DataFrame:
-    """Expansion by three rounds."""
-    return _bfs(spark, d, 3).select("node", F.col("round").cast("bigint").alias("round"))
-
-
-@R.query(SQL["induced_subgraph"].replace("reach.r < 2", "reach.r < 3"))
-def induced_subgraph_3(spark: SparkSession, d: str) -> DataFrame:
     """The edges inside what was reached in three rounds."""
     return _induced(spark, d, 3)
 
@@ -208,16 +160,10 @@ def _induced(spark: SparkSession, d: str, rounds: int) -> DataFrame:
     return inside.groupBy("rel").agg(F.count("*").alias("n"))
 
 
-@R.query(_E.replace("WITH", "WITH RECURSIVE", 1) + """, calmnear AS (SELECT DISTINCT * FROM (SELECT src AS node, dst AS other FROM calm WHERE src <> dst UNION ALL SELECT dst, src FROM calm WHERE src <> dst)),
- reach AS (SELECT DISTINCT node, node AS r FROM calmnear UNION SELECT reach.node, n.other FROM reach JOIN calmnear n ON n.node = reach.r)
+@R.query(_E.replace("WITH", "WITH RECURSIVE", 1) + """,
+ reach AS (SELECT DISTINCT node, node AS r FROM near UNION SELECT reach.node, n.other FROM reach JOIN near n ON n.node = reach.r)
  SELECT component, count(*) AS size FROM (SELECT node, min(r) AS component FROM reach GROUP BY node) GROUP BY component""")
 def component_sizes(spark: SparkSession, d: str) -> DataFrame:
-    """M8: connected components, hubs left out."""
-    return G.components(G.without_hubs(_edges(spark, d), 20)).groupBy("component").agg(F.count("*").alias("size"))
-
-
-@R.query(_whole(SQL["component_sizes"]))
-def component_sizes_all(spark: SparkSession, d: str) -> DataFrame:
     """M8: connected components."""
     return G.components(_edges(spark, d)).groupBy("component").agg(F.count("*").alias("size"))
 
@@ -237,14 +183,8 @@ def communities_modularity(spark: SparkSession, d: str) -> DataFrame:
     return G.modularity(e, G.label_propagation(e))
 
 
-@R.query(_E + "SELECT x.src AS person, x.dst AS thing, y.dst AS owner FROM calm x JOIN calm y ON x.dst = y.src AND y.rel = 'BELONGS_TO' WHERE x.rel = 'USES'")
+@R.query(_E + "SELECT x.src AS person, x.dst AS thing, y.dst AS owner FROM e x JOIN e y ON x.dst = y.src AND y.rel = 'BELONGS_TO' WHERE x.rel = 'USES'")
 def sparql_bgp(spark: SparkSession, d: str) -> DataFrame:
-    """A basic graph pattern of two triples, hubs left out."""
-    return _sparql_bgp(G.without_hubs(_edges(spark, d), 20))
-
-
-@R.query(_whole(SQL["sparql_bgp"]))
-def sparql_bgp_all(spark: SparkSession, d: str) -> DataFrame:
     """A basic graph pattern of two triples."""
     return _sparql_bgp(_edges(spark, d))
 
@@ -262,14 +202,8 @@ def reify(spark: SparkSession, d: str) -> DataFrame:
     return _edges(spark, d).select("edge_id", F.inline(pairs)).groupBy("p").agg(F.count("*").alias("n"), F.count_distinct("o").alias("n_objects"))
 
 
-@R.query(_E + """, topic AS (SELECT dst AS topic, count(DISTINCT src) AS members FROM e GROUP BY dst) SELECT topic, members, row_number() OVER (ORDER BY members DESC, topic) AS place FROM topic QUALIFY members >= 10 OR place <= 3""")
+@R.query(_E + """, topic AS (SELECT dst AS topic, count(DISTINCT src) AS members FROM e GROUP BY dst) SELECT topic, members, row_number() OVER (ORDER BY members DESC, topic) AS place FROM topic QUALIFY members >= 2 OR place <= 3""")
 def shared_topics_fill(spark: SparkSession, d: str) -> DataFrame:
-    """Objects that at least ten subjects share, filled up to three."""
-    return _shared_topics(spark, d, 10)
-
-
-@R.query(SQL["shared_topics_fill"].replace("members >= 10", "members >= 2"))
-def shared_topics_fill_2(spark: SparkSession, d: str) -> DataFrame:
     """Objects that at least two subjects share, filled up to three."""
     return _shared_topics(spark, d, 2)
 
@@ -278,7 +212,7 @@ def _shared_topics(spark: SparkSession, d: str, least: int) -> DataFrame:
     t = _edges(spark, d).groupBy(F.col("dst").alias("topic")).agg(F.count_distinct("src").alias("members"))
     top = t.orderBy(F.desc("members"), "topic").limit(3)
     kept = t.filter(F.col("members") >= least).unionByName(top).distinct()
-    return kept.withColumn("place", F.row_number().over(W.orderBy(F.desc("members"), "topic")))
+    return rank.numbered(kept, [F.desc("members"), F.col("topic")], "place")
 
 
 @R.query(_E + "SELECT '<' || src || '> <' || rel || '> <' || dst || '> .' AS line FROM e")
@@ -292,7 +226,7 @@ _ONTO_SQL = ", ".join(str(x) for x in _ONTO)
 
 
 @R.query(f"""WITH onto(predicate, domain, "range") AS (VALUES {_ONTO_SQL}), rules AS (SELECT predicate, list(domain) AS domains, list("range") AS ranges FROM onto GROUP BY predicate),
- ents AS (SELECT entity_id, min(entity_type) AS entity_type FROM entities GROUP BY entity_id), t AS (SELECT id, any_value(content) AS text FROM document_chunks GROUP BY id),
+ ents AS (SELECT entity_id, min(entity_type) AS entity_type FROM entities GROUP BY entity_id), t AS (SELECT id, min(content) AS text FROM document_chunks GROUP BY id),
  e AS (SELECT DISTINCT id, subject, predicate, object, chunk_id, evidence FROM edges)
  SELECT predicate, reason, count(*) AS n FROM (SELECT e.predicate, CASE WHEN domains IS NULL THEN 'unknown_predicate' WHEN s.entity_type IS NULL THEN 'dangling_subject' WHEN o.entity_type IS NULL THEN 'dangling_object'
   WHEN NOT coalesce(contains(trim(regexp_replace(t.text, '[\\s\\x{{00A0}}]+', ' ', 'g'), ' '), trim(regexp_replace(e.evidence, '[\\s\\x{{00A0}}]+', ' ', 'g'), ' ')), false) THEN 'evidence_not_found'
@@ -301,7 +235,7 @@ _ONTO_SQL = ", ".join(str(x) for x in _ONTO)
 def triple_validate(spark: SparkSession, d: str) -> DataFrame:
     """The first reason for which statements fail, counted."""
     triples = table(spark, d, "edges").select(F.col("id").alias("edge_id"), "subject", "predicate", "object", "chunk_id", "evidence").distinct()
-    texts = table(spark, d, "document_chunks").groupBy(F.col("id").alias("chunk_id")).agg(F.any_value("content").alias("text"))
+    texts = table(spark, d, "document_chunks").groupBy(F.col("id").alias("chunk_id")).agg(F.min("content").alias("text"))
     schema = spark.createDataFrame(_ONTO, "predicate string, domain string, range string")
     checked = K.validate_triples(triples, _entities(spark, d).select("entity_id", "entity_type"), schema, texts)
     return checked.groupBy("predicate", "reason").agg(F.count("*").alias("n"))
@@ -393,11 +327,16 @@ def upsert_present(spark: SparkSession, d: str) -> DataFrame:
     return merged.groupBy("id").agg(F.min("name").alias("name"), F.count("*").alias("n"))
 
 
-@R.query("""SELECT source, sha256(string_agg(h, chr(10) ORDER BY h)) AS fingerprint FROM (SELECT source, sha256(content) AS h FROM document_chunks WHERE content IS NOT NULL) GROUP BY source""")
+@R.query("""WITH h AS (SELECT source, sha256(content) AS h FROM document_chunks WHERE content IS NOT NULL), a AS (SELECT source, h[1:5] AS p, sha256(string_agg(h, chr(10) ORDER BY h)) AS h FROM h GROUP BY ALL),
+ b AS (SELECT source, p[1:2] AS p, sha256(string_agg(h, chr(10) ORDER BY p)) AS h FROM a GROUP BY ALL) SELECT source, sha256(string_agg(h, chr(10) ORDER BY p)) AS fingerprint FROM b GROUP BY source""")
 def corpus_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    """A hash over the ordered hashes of a source: only hashes are gathered."""
-    h = table(spark, d, "document_chunks").filter("content is not null").select("source", F.sha2("content", 256).alias("h"))
-    return h.groupBy("source").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256).alias("fingerprint"))
+    """A hash over the ordered hashes of a source, by ranges of five and two digits, so that no list
+    holds more than a millionth of the hashes or 4,096 of ranges."""
+    level = table(spark, d, "document_chunks").filter("content is not null").select("source", F.sha2("content", 256).alias("h"), F.sha2("content", 256).alias("o"))
+    for digits in (5, 2, 0):
+        own = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "h"))), lambda x: x["h"]), "\n")
+        level = level.groupBy("source", F.left("o", F.lit(digits)).alias("p")).agg(F.sha2(own, 256).alias("h")).withColumnRenamed("p", "o")
+    return level.select("source", F.col("h").alias("fingerprint"))
 
 
 @R.query("""SELECT a.id, a.name, CASE WHEN lower(a.name) = a.normalized_name THEN 'matched' WHEN a.normalized_name IS NULL THEN 'missing' ELSE 'different' END AS state FROM (SELECT DISTINCT id, name, normalized_name FROM kg_entities) a""")

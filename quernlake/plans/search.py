@@ -336,11 +336,14 @@ def missing_embeddings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _labelled(spark: SparkSession, d: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """The ranking with whether labels agree, and the queries with how many others have their label: who
+    they are isn't listed, as that is every pair of a label."""
     q, data = _vectors(spark, d)
-    ranking = dense.nearest(q, data, k).select("query_id", F.col("id").alias("doc_id"), "rank")
-    queries = data.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "label")
-    gold = queries.join(data.select(F.col("id").alias("doc_id"), "label"), "label").filter("query_id <> doc_id").select("query_id", "doc_id", F.lit(1).alias("gain"))
-    return ranking, gold
+    labels = data.select(F.col("id").alias("doc_id"), F.col("label").alias("doc_label"))
+    sizes = data.groupBy("label").agg((F.count("*") - 1).alias("n_gold"))
+    queries = data.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "label").join(sizes, "label")
+    ranking = dense.nearest(q, data, k).select("query_id", F.col("id").alias("doc_id"), "rank").join(labels, "doc_id").join(queries.select("query_id", "label"), "query_id")
+    return ranking.withColumn("relevant", F.col("label") == F.col("doc_label")), queries
 
 
 @R.query(_KNN + """SELECT query_id, CASE WHEN n_gold = 0 THEN NULL ELSE round(n_hit / n_gold, 6) END AS recall, round(n_hit / 10, 6) AS precision, n_hit > 0 AS hit, coalesce(round(1.0 / first_rank, 6), 0) AS reciprocal_rank,
@@ -350,24 +353,29 @@ def _labelled(spark: SparkSession, d: str, k: int) -> tuple[DataFrame, DataFrame
  JOIN (SELECT query_id, sum(1 / log2(r + 1)) AS idcg FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id) AS r FROM ranked WHERE label = q_label) WHERE r <= 10 GROUP BY query_id) USING (query_id)""")
 def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Recall, precision, hit, reciprocal rank and nDCG of the vector ranking, by equal labels."""
-    ranking, gold = _labelled(spark, d, 10)
-    return metrics.retrieval_metrics(ranking, gold, 10)
+    ranking, queries = _labelled(spark, d, 10)
+    return metrics.counted_metrics(ranking, queries.select("query_id", "n_gold"), 10)
 
 
 @R.query(_KNN + """SELECT query_id, round(avg(hit), 6) AS evidence_recall, min(hit) = 1 AS all_evidence FROM (SELECT query_id, id % 3 AS evidence_id, max(CAST(rank <= 10 AS INT)) AS hit FROM ranked WHERE label = q_label GROUP BY ALL) GROUP BY query_id""")
 def evidence_recall(spark: SparkSession, d: str) -> DataFrame:
     """Groups of evidence of which any member will do."""
-    ranking, gold = _labelled(spark, d, 10)
-    return metrics.evidence_recall(ranking, gold.withColumn("evidence_id", F.col("doc_id") % 3), 10)
+    ranking, queries = _labelled(spark, d, 10)
+    part = lambda c: (F.col(c) % 3).alias("evidence_id")
+    members = table(spark, d, "embeddings").groupBy("label", part("vec_id")).agg(F.count("*").alias("n"))
+    groups = queries.join(members, "label").filter(F.col("n") > (F.col("query_id") % 3 == F.col("evidence_id")).cast("int")).select("query_id", "evidence_id")
+    hits = ranking.filter("relevant").select("query_id", part("doc_id"), F.lit(1).alias("hit")).distinct()
+    each = groups.join(hits, ["query_id", "evidence_id"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
+    return each.groupBy("query_id").agg(F.round(F.avg("hit"), 6).alias("evidence_recall"), (F.min("hit") == 1).alias("all_evidence"))
 
 
 @R.query(_KNN + """SELECT q_label AS label, round(avg(n_hit / n_gold), 6) AS recall, count(*) AS n FROM (SELECT query_id, q_label, count(*) FILTER (rank <= 10 AND label = q_label) AS n_hit, count(*) FILTER (label = q_label) AS n_gold FROM ranked GROUP BY ALL) WHERE n_gold > 0 GROUP BY GROUPING SETS ((), (q_label))""")
 def macro_by_category(spark: SparkSession, d: str) -> DataFrame:
     """A5: macro means, overall and by category, from one pass."""
-    ranking, gold = _labelled(spark, d, 10)
-    counted = gold.join(ranking.select("query_id", "doc_id", F.lit(1).alias("h")), ["query_id", "doc_id"], "left").groupBy("query_id").agg((F.count("h") / F.count("*")).alias("recall"))
-    labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "label")
-    return counted.join(labels, "query_id").groupingSets([[], ["label"]], "label").agg(F.round(F.avg("recall"), 6).alias("recall"), F.count("*").alias("n"))
+    ranking, queries = _labelled(spark, d, 10)
+    hits = ranking.groupBy("query_id").agg(F.count_if("relevant").alias("n_hit"))
+    counted = queries.filter("n_gold > 0").join(hits, "query_id", "left").select("label", (F.coalesce("n_hit", F.lit(0)) / F.col("n_gold")).alias("recall"))
+    return counted.groupingSets([[], ["label"]], "label").agg(F.round(F.avg("recall"), 6).alias("recall"), F.count("*").alias("n"))
 
 
 @R.query(_ARMS + "SELECT query_id, round(count(b.doc_id) / 10, 6) AS overlap FROM (SELECT * FROM lists WHERE method = 'bm25' AND rank <= 10) a LEFT JOIN (SELECT query_id, doc_id FROM lists WHERE method = 'grep' AND rank <= 10) b USING (query_id, doc_id) GROUP BY query_id")

@@ -10,8 +10,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a list collected to the driver or a broadcast side built from one may have.
+#: Queries or other rows of a block that is sent everywhere at a time.
 BOUNDED_ROWS = 1024
+#: Keys that may be dealt out over salts: what is sent everywhere for it stays below some 100 MB.
+MOST_HOT = 1 << 20
 
 
 def local_session(cores: int = 8, app: str = "quernlake") -> SparkSession:
@@ -56,9 +58,12 @@ _own: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a folder of our own only where it is unset."""
+    """The shared folder of spark.checkpoint.dir; a folder of our own only where it is unset and all
+    runs on this machine. A cluster without a shared folder is an error: each executor would write its own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         path = _own.setdefault(app, "") or f"file://{tempfile.mkdtemp(prefix='quernlake-')}"
         _own[app] = path
@@ -75,23 +80,34 @@ def cut(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Data
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def hot_keys(df: DataFrame, keys: list[str], hot_rows: int, most: int = BOUNDED_ROWS) -> list[tuple]:
-    """The keys with more than hot_rows rows and their counts, at most `most` of them.
+def hot_keys(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame | None:
+    """The keys of df with more than hot_rows rows and their `count`, or None where there is none."""
+    return hot_counts(df.groupBy(*keys).count().filter(F.col("count") > hot_rows))
 
-    Any key left out of a full list holds at most a `most`-th of all rows, so the list is a proven bound.
-    """
-    counts = df.groupBy(*keys).count().filter(F.col("count") > hot_rows)
-    return [tuple(r) for r in counts.orderBy(F.desc("count")).limit(most).collect()]
 
+def hot_counts(counts: DataFrame) -> DataFrame | None:
+    """Keys with their `count`, bounded for sending: all of them, or, where they are more than MOST_HOT,
+    those above the least power of two that leaves no more. A key below it holds less than a 2**-19th
+    of all rows then, so nothing that is left out is hot."""
+    counts = cut(counts, "hot-keys")
+    sizes = sorted(((int(r.b), r["count"]) for r in counts.groupBy(F.floor(F.log2("count")).alias("b")).count().collect()), reverse=True)
+    if not sizes:
+        return None
+    kept, least = 0, sizes[0][0]
+    for b, n in sizes:
+        kept += n
+        if kept > MOST_HOT:
+            break
+        least = b
+    return counts if kept <= MOST_HOT else counts.filter(F.col("count") >= 2**least)
 
-def with_salts(df: DataFrame, keys: list[str], hot: list[tuple], hot_rows: int, by: str | None) -> DataFrame:
+
+def with_salts(df: DataFrame, keys: list[str], hot: DataFrame | None, hot_rows: int, by: str | None) -> DataFrame:
     """Add column `salt`: rows of hot keys are dealt over count/hot_rows salts by a hash of column `by`,
     or copied to each salt where `by` is None; all other rows have salt 0."""
-    if not hot:
+    if hot is None:
         return df.withColumn("salt", F.lit(0))
-    spark = df.sparkSession
-    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", n_salts int"
-    sizes = spark.createDataFrame([(*r[:-1], int(r[-1] // hot_rows) + 1) for r in hot], schema)
+    sizes = hot.select(*keys, (F.floor(F.col("count") / hot_rows) + 1).cast("int").alias("n_salts"))
     joined = df.join(F.broadcast(sizes), keys, "left").withColumn("n_salts", F.coalesce("n_salts", F.lit(1)))
     if by is None:
         salted = joined.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("n_salts") - 1)))

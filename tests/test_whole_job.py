@@ -9,7 +9,6 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from quernlake.functions.text import shares_window
-from quernlake.llm import personal
 from quernlake.operators import chunking, graph, lexical
 from quernlake.plans import activity, further, search
 from quernlake.plans import graph as plans
@@ -51,7 +50,7 @@ def test_a_copy_is_found_wherever_it_stands(spark, tmp_path):
     assert [bool(s) for s in got] == [any(t[i:i + 50] in b for i in range(len(t) - 49)) if t and b else False for t, b in pairs]
     spark.createDataFrame([("c", long), ("d", long)], "chunk_id string, evidence string").write.parquet(f"{tmp_path}/edges.parquet")
     spark.createDataFrame([("c", "x" + long[40:90]), ("d", long[:30])], "id string, content string").write.parquet(f"{tmp_path}/document_chunks.parquet")
-    assert [(r.id, r.n_copied) for r in activity.verbatim_windows(spark, str(tmp_path)).collect()] == [("c", 1)]
+    assert [(r.id, r.n_copied) for r in activity.verbatim_copy(spark, str(tmp_path)).collect()] == [("c", 1)]
 
 
 def test_every_question_is_answered(spark):
@@ -64,9 +63,9 @@ def test_third_round_and_topics_of_two(spark, tmp_path):
     rows = [(n, "a", "MENTIONS", f"x{n}") for n in range(3)] + [(10, "x0", "r", "y"), (11, "y", "r", "z"), (12, "z", "s", "end")]
     rows += [(20 + n, f"m{n}", "r", f"t{n // 2}") for n in range(10)]
     spark.createDataFrame(rows, "id int, subject string, predicate string, object string").write.parquet(f"{tmp_path}/edges.parquet")
-    assert {r.node: r.round for r in plans.bfs_expand_3(spark, str(tmp_path)).collect()} == {"a": 0, "x0": 1, "x1": 1, "x2": 1, "y": 2, "z": 3}
-    assert {r.rel: r.n for r in plans.induced_subgraph_3(spark, str(tmp_path)).collect()} == {"MENTIONS": 3, "r": 2}
-    assert [(r.topic, r.members) for r in plans.shared_topics_fill_2(spark, str(tmp_path)).orderBy("place").collect()] == [(f"t{n}", 2) for n in range(5)]
+    assert {r.node: r.round for r in plans.bfs_expand(spark, str(tmp_path)).collect()} == {"a": 0, "x0": 1, "x1": 1, "x2": 1, "y": 2, "z": 3}
+    assert {r.rel: r.n for r in plans.induced_subgraph(spark, str(tmp_path)).collect()} == {"MENTIONS": 3, "r": 2}
+    assert [(r.topic, r.members) for r in plans.shared_topics_fill(spark, str(tmp_path)).orderBy("place").collect()] == [(f"t{n}", 2) for n in range(5)]
 
 
 def packed(text: str, size: int, overlap: int) -> list[str]:
@@ -92,19 +91,6 @@ def test_long_paragraphs_are_cut(spark):
         assert r.p == packed(r.t, 10, 3) and all(len(p) <= 10 for p in r.p)
 
 
-def test_known_names_with_rare_parts_are_masked(spark, monkeypatch):
-    common = [f"{s}{g}" for s in "김이박최" for g in ("하늘", "도담", "샛별", "온슬")]
-    rare = ["남궁", "제갈가온", "표누리", "zoe quill"]
-    texts = [f"정리는 {n} 담당이에요" for n in [*common, *rare]] + ["정리는 운영진 담당이에요", "표누리 보러 가요"]
-    rows = spark.createDataFrame([("t", n, t) for n, t in enumerate(texts)], "table_name string, row_id bigint, text string")
-    seeds = spark.createDataFrame([(n,) for n in common + rare], "name string")
-    for most in (personal.MOST, 0.5):
-        monkeypatch.setattr(personal, "MOST", most)  # 0.5: nothing is frequent enough to be sent everywhere
-        got = {r.row_id: r.text for r in personal.mask_personal(rows, seeds).collect()}
-        assert [got[n] for n in range(20)] == ["정리는 [NAME] 담당이에요"] * 20
-        assert got[20] == texts[20] and got[21] == texts[21]
-
-
 def test_lsh_finds_what_exact_search_finds(spark, data):
     exact = {(r.query_id, r.id) for r in search.knn_exact(spark, data).collect()}
     got = further.knn_lsh(spark, data).collect()
