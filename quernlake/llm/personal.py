@@ -25,10 +25,12 @@ TYPES = ("email", "phone", "id_number", "address", "name")
 #: Words of respect behind a name, and what keeps a name's place in a pattern.
 HONORIFICS = ("님", "씨", "팀장님", "선생님", "교수님", "대리님", "과장님", "부장님", "선배님")
 ROUNDS = 3
-#: A pattern is good with so many known instances, and so great a share of known ones.
-MIN_SUPPORT, MIN_SHARE = 3, 0.3
-#: Patterns and parts of names with a smaller share of all known occurrences than this aren't sent
-#: everywhere but joined, so that at most 4 * MOST are sent, whatever the size of the corpus.
+#: A pattern is good if it holds so many known instances and they are so great a share of all that occurs in it.
+MIN_SUPPORT, MIN_SHARE = 3, 0.2
+#: What a pattern needs at least: one word. Edges of a text and marks alone say nothing about what they hold.
+WORDED = r"\p{L}"
+#: Of name patterns, other patterns, parts and known names, the most frequent up to so many each are
+#: sent everywhere and the rest are joined to the texts that ask for them; the result is the same.
 MOST = 20_000
 #: A pattern that holds so many numbers, of which so small a share is personal, is one of things.
 THING_NUMBERS, THING_SHARE = 30, 0.02
@@ -50,6 +52,8 @@ _SHAPES = (
     ("phone", re.compile(r"(?<![\d+-])\(?0(?:2|[3-6]\d)\)?[\s.-]?\d{3,4}[\s.-]\d{4}(?![\d-])")),
     ("phone", re.compile(r"(?<![\d+-])\+\d{1,3}[\s.-]?\(?\d{2,4}\)?[\s.-]?\d{3,4}[\s.-]\d{4}(?![\d-])")),
 )
+#: Spans that may be an address where a good pattern says so: place words and a house number in any order known.
+_PLACE = re.compile(r"(?:[가-힣]{1,20}(?:시|도|군|구|읍|면|동|리|가|로|길),?\s?){1,5}\d[\d-]*(?:\s?(?:번지|번길|동|호|층))?(?:,?\s\d+(?:동|호|층))*|(?<!\w)\d{1,5}(?:\s[A-Z][A-Za-z]+){1,4}\b")
 #: Spans that may be an identifier where a good pattern says so.
 _LOOSE = re.compile(r"\S+@\S+|(?<![\w.+-])[+(]?[A-Za-z]?[\d공일이삼사오육칠팔구][\d공일이삼사오육칠팔구().-]*(?:[ 에]{1,2}[\d공일이삼사오육칠팔구().-]+){0,4}")
 _MAYBE = re.compile(r"\d|@|골뱅이|\(at\)|\[at\]|공일공")
@@ -93,6 +97,9 @@ def _loose_spans(folded: str, strict: list[Span]) -> list[Span]:
             mail = "@" in value
             if (mail or sum(c.isdigit() for c in value) >= 4) and all(end <= s.start or m.start() >= s.end for s in strict):
                 out.append(Span(m.start(), end, "mail" if mail else "number", value, None))
+        for m in _PLACE.finditer(folded):
+            if all(m.end() <= s.start or m.start() >= s.end for s in strict) and all(m.end() <= s.start or m.start() >= s.end for s in out):
+                out.append(Span(m.start(), m.end(), "place", m[0], None))
     return out
 
 
@@ -130,7 +137,7 @@ def _name_spans(folded: str, tokens: list[re.Match]) -> Iterator[tuple[Span, int
 
 @lru_cache(maxsize=1 << 16)
 def _word(token: str) -> str:
-    return _DIGITS.sub("0", token.casefold()).rstrip(".,;!")[:24] or "."
+    return _DIGITS.sub("0", token.casefold()).rstrip(".,;!") or "."
 
 
 def _patterns(tokens: list[re.Match], first: int, after: int, tail: str = "") -> list[str]:
@@ -170,13 +177,13 @@ def _count_edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for span in strict + _loose_spans(folded, strict):
                 # What counts of an identifier is that it is one: instances are shapes of a type.
                 for p in _around(tokens, starts, span):
-                    counts[span.kind, p, re.sub(r"\d", "0", span.instance)[:40] if span.seed is None else f"<{span.seed}>", span.seed] += times
+                    counts[span.kind, p, re.sub(r"\d", "0", span.instance) if span.seed is None else f"<{span.seed}>", span.seed] += times
         yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["kind", "pattern", "instance", "seed", "n"])
 
 
 class Knowledge(NamedTuple):
-    """What the rounds found: good patterns with their type, patterns of things, and parts of names;
-    known names as a whole are those of the text at hand."""
+    """What the rounds found: good patterns with their type, patterns of things, parts of names and known
+    names as a whole."""
 
     patterns: dict[tuple[str, str], str]
     things: set[tuple[str, str]]
@@ -188,9 +195,11 @@ class Knowledge(NamedTuple):
 
 
 class Rest(NamedTuple):
-    """What is looked up by a join: what (known, pattern or part), value and verdict, one row each."""
+    """What is looked up by a join: what (known, pattern or part), value and verdict, one row each, and
+    which of them there are."""
 
     table: DataFrame
+    known: bool
     patterns: bool
     parts: bool
 
@@ -206,12 +215,13 @@ def learn(texts: DataFrame, names: DataFrame, rounds: int = ROUNDS) -> tuple[Kno
     name = F.trim(F.lower("name"))
     of_names = edges.filter("kind = 'name'").select("pattern", "instance", "n")
     known = names.select(name.alias("instance")).filter(F.col("instance").rlike("^([가-힣]{2,4}|[a-z]+([-'][a-z]+)? [a-z]+([-'][a-z]+)?)$")).distinct()
-    per_pattern = of_names.groupBy("pattern").agg(F.count("*").alias("n_instances"))
+    # Shares are of occurrences: how many distinct values a place has seen grows with the corpus, shares don't.
+    per_pattern = cut(of_names.filter(F.col("pattern").rlike(WORDED)).groupBy("pattern").agg(F.sum("n").alias("held")), "pii-held")
     good = None
     for k in range(rounds):
         hits = of_names.join(known, "instance").groupBy("pattern").agg(F.count("*").alias("support"), F.sum("n").alias("seen"))
         hits = hits.filter(F.col("support") >= MIN_SUPPORT)
-        good = hits.join(per_pattern, "pattern").filter(F.col("support") / F.col("n_instances") >= MIN_SHARE)
+        good = hits.join(per_pattern, "pattern").filter(F.col("seen") / F.col("held") >= MIN_SHARE)
         good = cut(good.select("pattern", "seen"), f"pii-good-{k}")
         if k == rounds - 1:
             break
@@ -223,43 +233,52 @@ def learn(texts: DataFrame, names: DataFrame, rounds: int = ROUNDS) -> tuple[Kno
         )
         more = grown.filter((F.col("places") >= 2) & (F.col("in_good") / F.col("all") >= 0.6)).select("instance")
         known = cut(known.unionByName(more).distinct(), f"pii-known-{k}")
-    total = good.agg(F.sum("seen")).first()[0] or 0
-    patterns = {("name", r.pattern): "name" for r in good.filter(F.col("seen") >= total / MOST).collect()}
-    rare = good.filter(F.col("seen") < total / MOST).select(F.lit("name").alias("kind"), "pattern", F.lit("name").alias("verdict"))
-    parts = known.join(of_names.select("instance").distinct(), "instance").select(
+    patterns, rare = _sent(good.select(F.lit("name").alias("kind"), "pattern", F.lit("name").alias("verdict"), "seen"))
+    patterns = {(r.kind, r.pattern): r.verdict for r in patterns}
+    parts = known.select(
         F.explode(
             F.when(F.col("instance").rlike("^[가-힣]{3}$"), F.array(F.concat(F.lit("s"), F.left("instance", F.lit(1))), F.concat(F.lit("g"), F.right("instance", F.lit(2)))))
             .when(F.col("instance").rlike("^[a-z]+ [a-z]+$"), F.transform(F.split("instance", " "), lambda x: F.concat(F.lit("l"), x)))
             .otherwise(F.array())
         ).alias("part")
     )
-    counted = cut(parts.groupBy("part").count(), "pii-parts")
-    whole = counted.agg(F.sum("count")).first()[0] or 0
-    counted = counted.filter((F.col("count") >= 2) & (F.length("part") > 1))
-    used = [r.part for r in counted.filter(F.col("count") >= whole / MOST).collect()]
-    rare_parts = counted.filter(F.col("count") < whole / MOST).select(F.lit("part").alias("what"), F.col("part").alias("value"), F.lit("name").alias("verdict"))
-    # Numbers and mail: the share of each type in what a pattern holds.
-    other = edges.filter("kind in ('number', 'mail')").groupBy("kind", "pattern").agg(
-        F.sum("n").alias("n"), *(F.coalesce(F.sum(F.when(F.col("seed") == t, F.col("n"))), F.lit(0)).alias(t) for t in TYPES[:3])
+    counted = parts.groupBy("part").agg(F.count("*").alias("seen")).filter((F.col("seen") >= 2) & (F.length("part") > 1))
+    used, rare_parts = _sent(cut(counted, "pii-parts"))
+    used = [r.part for r in used]
+    rare_parts = rare_parts.select(F.lit("part").alias("what"), F.col("part").alias("value"), F.lit("name").alias("verdict"))
+    # Numbers, mail and places: the share of each type in what a pattern holds.
+    other = edges.filter("kind in ('number', 'mail', 'place')").filter(F.col("pattern").rlike(WORDED)).groupBy("kind", "pattern").agg(
+        F.sum("n").alias("n"), *(F.coalesce(F.sum(F.when(F.col("seed") == t, F.col("n"))), F.lit(0)).alias(t) for t in TYPES[:4])
     )
-    types = TYPES[:3]
+    types = TYPES[:4]
     most, all_types = F.greatest(*types), sum((F.col(t) for t in types[1:]), F.col(types[0]))
     top = F.coalesce(*(F.when(F.col(t) == most, F.lit(t)) for t in types))
     verdict = F.when((most >= MIN_SUPPORT) & (most / F.col("n") >= 0.8), top).when((F.col("n") >= THING_NUMBERS) & (all_types / F.col("n") < THING_SHARE), F.lit("thing"))
-    other = cut(other.filter(F.col("n") >= MIN_SUPPORT).withColumn("verdict", verdict), "pii-other")
-    seen = other.agg(F.sum("n")).first()[0] or 0
-    things: set[tuple[str, str]] = set()
-    for r in other.filter((F.col("n") >= seen / MOST) & F.col("verdict").isNotNull()).collect():
-        if r.verdict == "thing":
-            things.add((r.kind, r.pattern))
-        else:
-            patterns[r.kind, r.pattern] = r.verdict
-    rare = rare.unionByName(other.filter((F.col("n") < seen / MOST) & F.col("verdict").isNotNull()).select("kind", "pattern", "verdict"))
-    rare = rare.select(F.lit("pattern").alias("what"), F.concat_ws(SEPARATOR, "kind", "pattern").alias("value"), "verdict")
-    rest = known.select(F.lit("known").alias("what"), F.col("instance").alias("value"), F.lit("name").alias("verdict")).unionByName(rare).unionByName(rare_parts)
+    other = other.filter(F.col("n") >= MIN_SUPPORT).withColumn("verdict", verdict).filter(F.col("verdict").isNotNull())
+    others, rare_others = _sent(cut(other.select("kind", "pattern", "verdict", F.col("n").alias("seen")), "pii-other"))
+    things = {(r.kind, r.pattern) for r in others if r.verdict == "thing"}
+    patterns |= {(r.kind, r.pattern): r.verdict for r in others if r.verdict != "thing"}
+    rare = rare.unionByName(rare_others).select(F.lit("pattern").alias("what"), F.concat_ws(SEPARATOR, "kind", "pattern").alias("value"), "verdict")
+    # Known names go by how often they occur; those that don't occur can't be asked for.
+    whole = of_names.groupBy("instance").agg(F.sum("n").alias("seen")).join(known, "instance")
+    names_sent, rare_names = _sent(cut(whole, "pii-whole"))
+    rare_names = rare_names.select(F.lit("known").alias("what"), F.col("instance").alias("value"), F.lit("name").alias("verdict"))
     of = {c: {p[1:] for p in used if p[0] == c} for c in "sgl"}
-    any_given = bool(of["g"]) or not counted.filter(F.col("part").startswith("g")).isEmpty()
-    return Knowledge(patterns, things, of["s"], of["g"], of["l"], any_given=any_given), Rest(rest, not rare.isEmpty(), not rare_parts.isEmpty())
+    any_given = bool(of["g"]) or not rare_parts.filter(F.col("value").startswith("g")).isEmpty()
+    knowledge = Knowledge(patterns, things, of["s"], of["g"], of["l"], frozenset(r.instance for r in names_sent), any_given)
+    return knowledge, Rest(rare_names.unionByName(rare).unionByName(rare_parts), not rare_names.isEmpty(), not rare.isEmpty(), not rare_parts.isEmpty())
+
+
+def _sent(df: DataFrame) -> tuple[list, DataFrame]:
+    """Of df, which is written and has a column `seen`, the rows to send everywhere and the rest: all, or,
+    where they are more than MOST, those above the least power of two that leaves no more."""
+    sizes = sorted(((int(r.b), r["count"]) for r in df.groupBy(F.floor(F.log2("seen")).alias("b")).count().collect()), reverse=True)
+    sent, least = 0, sizes[0][0] + 1 if sizes else 0
+    for b, n in sizes:
+        if sent + n > MOST:
+            break
+        sent, least = sent + n, b
+    return df.filter(F.col("seen") >= 2**least).collect(), df.filter(F.col("seen") < 2**least)
 
 
 def _parts(instance: str) -> list[str]:
@@ -272,7 +291,7 @@ def _honoured(s: Span, folded: str, tokens: list[re.Match], first: int, after: i
     return folded[s.end:s.end + 1] == "님" or (after - 1 > first and tokens[after - 1][0] in HONORIFICS)
 
 
-def questions(text: str, k: Knowledge, patterns: bool, parts: bool) -> set[tuple[str, str]]:
+def questions(text: str, k: Knowledge, known: bool, patterns: bool, parts: bool) -> set[tuple[str, str]]:
     """What (what, value) of a text k doesn't know and the rest may."""
     folded = fold(text)
     tokens = list(_TOKEN.finditer(folded))
@@ -283,7 +302,7 @@ def questions(text: str, k: Knowledge, patterns: bool, parts: bool) -> set[tuple
         if not good and patterns:
             asked.update(("pattern", f"name{SEPARATOR}{p}") for p in around)
         if (good or patterns) and not _is_name(s, folded, _honoured(s, folded, tokens, first, after), k):
-            asked.add(("known", s.instance))
+            asked.update([("known", s.instance)] if known else [])
             asked.update(("part", p) for p in _parts(s.instance) if parts)
     if patterns:
         starts = [t.start() for t in tokens]
@@ -302,7 +321,7 @@ def with_answers(k: Knowledge, answers: list[str]) -> Knowledge:
     also = lambda c, had: ChainMap({p[1:]: None for p in parts if p[0] == c}, had) if any(p[0] == c for p in parts) else had
     return Knowledge(
         ChainMap({p: v for p, v in found.items() if v != "thing"}, k.patterns), ChainMap({p: None for p, v in found.items() if v == "thing"}, k.things),
-        also("s", k.surnames), also("g", k.given), also("l", k.latin), frozenset(v.rsplit(SEPARATOR, 1)[0] for v in of("known")), k.any_given,
+        also("s", k.surnames), also("g", k.given), also("l", k.latin), k.known.union(v.rsplit(SEPARATOR, 1)[0] for v in of("known")) if of("known") else k.known, k.any_given,
     )
 
 
@@ -332,7 +351,7 @@ def find_spans(text: str, k: Knowledge) -> list[tuple[int, int, str]]:
     for s in _loose_spans(folded, strict):
         around = _around(tokens, starts, s)
         kinds = {k.patterns[s.kind, p] for p in around[:3] if (s.kind, p) in k.patterns}
-        enough = s.kind == "mail" or sum(c.isdigit() for c in s.instance) >= 8
+        enough = s.kind in ("mail", "place") or sum(c.isdigit() for c in s.instance) >= 8
         if len(kinds) == 1 and enough and not any((s.kind, p) in k.things for p in around[:1]):
             out.append((s.start, s.end, kinds.pop()))
     last = -1
@@ -364,20 +383,23 @@ def mask_personal(rows: DataFrame, names: DataFrame) -> DataFrame:
     Result: table_name, row_id, text (masked), pii_types (array of the types found, in order).
     """
     given = rows.select("table_name", F.col("row_id").cast("bigint").alias("row_id"), "text")
-    # Patterns and parts are bounded by MOST; known names and all rarer ones are joined to the texts that ask.
     knowledge, rest = learn(given, names)
     shared = rows.sparkSession.sparkContext.broadcast(knowledge)
-    rare_patterns, rare_parts = rest.patterns, rest.parts
-    keyed = given.withColumn("_key", F.sha2("text", 256))
+    asks = (rest.known, rest.patterns, rest.parts)
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             once = dict(zip(batch["_key"], batch["text"], strict=True))
-            out = [(key, *q) for key, t in once.items() if t for q in questions(t, shared.value, rare_patterns, rare_parts)]
+            out = [(key, *q) for key, t in once.items() if t for q in questions(t, shared.value, *asks)]
             yield pd.DataFrame(out, columns=["_key", "what", "value"])
 
-    asked = keyed.filter("text is not null").select("_key", "text").mapInPandas(ask, "_key string, what string, value string").distinct()
-    answers = asked.join(rest.table, ["what", "value"]).groupBy("_key").agg(F.collect_list(F.concat_ws(SEPARATOR, "what", "value", "verdict")).alias("answers"))
+    if any(asks):
+        keyed = given.withColumn("_key", F.sha2("text", 256))
+        asked = keyed.filter("text is not null").select("_key", "text").mapInPandas(ask, "_key string, what string, value string").distinct()
+        answers = asked.join(rest.table, ["what", "value"]).groupBy("_key").agg(F.collect_list(F.concat_ws(SEPARATOR, "what", "value", "verdict")).alias("answers"))
+        told = keyed.join(answers, "_key", "left").select("table_name", "row_id", "text", "answers")
+    else:
+        told = given.withColumn("answers", F.lit(None).cast("array<string>"))
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         knowledge = shared.value
@@ -390,7 +412,6 @@ def mask_personal(rows: DataFrame, names: DataFrame) -> DataFrame:
             batch["pii_types"] = [sorted({x[2] for x in s}) for s in found]
             yield batch[["table_name", "row_id", "text", "pii_types"]]
 
-    told = keyed.join(answers, "_key", "left").select("table_name", "row_id", "text", "answers")
     return told.mapInPandas(apply, "table_name string, row_id bigint, text string, pii_types array<string>")
 
 
