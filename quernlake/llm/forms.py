@@ -14,19 +14,19 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernlake.session import cut, hot_keys, table, with_salts
+from quernlake.session import cut, hot_counts, hot_keys, table, with_salts
 
 HOT_ROWS = 1_000_000
 #: Texts of these characters alone have no other width, composition or invisible characters.
 _PLAIN = r"^[\t\n\r\x20-\x7E가-힣]*$"
 #: A text that may be made of fields.
-_FIELDED = r"^\s*(\{|---|[\w ]{1,40}\s*:)"
+_FIELDED = r"^\s*(\{|---|[\w ]+:)"
 _VISIBLE = r"[^\s\p{Z}\p{C}\x{034F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{2800}\x{3164}\x{FFA0}\x{FE00}-\x{FE0F}]"
 
 _INVISIBLE = regex.compile(r"[\p{Cc}\p{Cf}\p{Default_Ignorable_Code_Point}⠀]+")
 _BLANKS = regex.compile(r"[\s\p{Z}]+")
 _DROPPED = regex.compile(r"[\s\p{Z}\p{C}\p{P}\p{Default_Ignorable_Code_Point}⠀]+")
-_KEY = regex.compile(r"(?<![\w])([\p{L}_][\p{L}\p{N}_]{0,39})\s*:(?!/)")
+_KEY = regex.compile(r"(?<![\w])([\p{L}_][\p{L}\p{N}_]*+)\s*:(?!/)")
 
 
 def visible(text: Column) -> Column:
@@ -88,8 +88,8 @@ def copy_classes(rows: DataFrame, hot_rows: int = HOT_ROWS) -> tuple[DataFrame,
     """Classes of rows that are the same but for their form.
 
     rows: table_name, row_id (string), text, fields (whether the order of fields is form). Null texts
-    and texts without anything visible belong to no class; of texts of punctuation alone all are the
-    same. A row delivered again counts as a further copy; ids are compared as text; very long texts
+    and texts without anything visible belong to no class; texts of punctuation alone are all form: they
+    are counted in one class, and as nothing is left of them to compare, none is said to be another's copy. A row delivered again counts as a further copy; ids are compared as text; very long texts
     are compared whole. Extra columns are ignored and an empty table gives no class.
 
     Result: (classes, membership). classes: table_name, row_id (the smallest id), n_copies, n_forms.
@@ -105,14 +105,13 @@ def copy_classes(rows: DataFrame, hot_rows: int = HOT_ROWS) -> tuple[DataFrame,
         F.sum("n").alias("n_copies"), F.count("*").alias("n_forms"), F.min("row_id").alias("row_id")
     )
     classes = grouped.select("table_name", "row_id", "n_copies", "n_forms")
-    several = grouped.filter("n_copies > 1").select("table_name", F.sha2("whole", 256).alias("key"), F.col("row_id").alias("class_id"))
+    several = grouped.filter("n_copies > 1 and whole <> ''").select("table_name", F.sha2("whole", 256).alias("key"), F.col("row_id").alias("class_id"))
     forms = survivors.select("table_name", "form", F.sha2("whole", 256).alias("key"))
     hot = hot_keys(forms, ["table_name", "key"], hot_rows)
     keys = ["table_name", "key", "salt"]
     of_form = with_salts(forms, keys[:2], hot, hot_rows, "form").join(with_salts(several, keys[:2], hot, hot_rows, None), keys)
     ids = given.select("table_name", "row_id", F.sha2("text", 256).alias("form"))
-    most = survivors.filter(F.col("n") > hot_rows).orderBy(F.desc("n")).limit(1024)
-    hot = [tuple(r) for r in most.select("table_name", "form", "n").collect()]
+    hot = hot_counts(survivors.filter(F.col("n") > hot_rows).select("table_name", "form", F.col("n").alias("count")))
     keys = ["table_name", "form", "salt"]
     membership = with_salts(ids, keys[:2], hot, hot_rows, "row_id").join(
         with_salts(of_form.select("table_name", "form", "class_id"), keys[:2], hot, hot_rows, None), keys
