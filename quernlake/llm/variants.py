@@ -1,18 +1,21 @@
 """Variant spellings of names typed by people, by merge-and-rematch resolution.
 
 Spellings that are the same after normalisation, or one slip of a key apart, merge first. A merged
-profile holds all its spellings and initials and enters blocking again: a bare initial or a nickname
-joins the one profile that it fits, which may only become the one once others have merged. This goes
-on until nothing merges any more.
+profile unites its members' given names, families and initials and enters blocking again in every
+round: names that the united spellings make up meet those of other profiles, and a bare initial or a
+nickname joins the one profile that it fits, which may only become the one once others have merged.
+This goes on until nothing merges any more. Words for fields of business that the lexicon doesn't know
+are learned from names whose rest is known with one field.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernlake.session import cut, table
@@ -21,7 +24,8 @@ from quernlake.session import cut, table
 _LEAD = "g kk n d tt r m b pp s ss  j jj ch k t p h".split(" ")
 _VOWEL = "a ae ya yae eo e yeo ye o wa wae oe yo u wo we wi yu eu ui i".split(" ")
 _TAIL = " k k k n n n t l k m l l l p l m p p t t ng t t k t p t".split(" ")
-#: Fields of business, as they are written in full, in Korean and in short.
+#: Fields of business, as they are written in full, in Korean and in short: the lexicon to start from.
+#: Other words for them are learned (LEARNED).
 FIELDS = {
     "analytics": ("애널리틱스", "분석"),
     "biosciences": ("바이오", "bio", "생명과학"),
@@ -39,9 +43,12 @@ _FORMS = {"co", "ltd", "inc", "corp", "corporation", "company", "group", "the",
 _PROJECT = {"project", "proj", "pjt", "프로젝트", "v"}
 _TITLES = {"dr", "mr", "ms", "mrs", "prof", "박사", "교수", "씨", "님"}
 _ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii": 8, "ix": 9, "x": 10}
-_PET = re.compile(r"(.{2,}?)(?:ie|y|o)$")
+_PET = re.compile(r"(.{2,}?)(?:ie|y|o|i)$")
 _IN_KOREAN = sorted(((w, f) for f, ws in FIELDS.items() for w in ws if not w.isascii()), key=lambda x: -len(x[0]))
-MOST_ROUNDS = 20
+SEPARATOR = "\x1f"
+_HONOURED = re.compile(r"(?<=[가-힣]{2})(?:님|씨)$")
+#: A word stands for a field if it occurs with so many rests that are known with a field, and so great a share of them with this one.
+LEARNED = (3, 0.6)
 
 
 def romanise(text: str) -> str:
@@ -73,7 +80,7 @@ def _field(word: str) -> str | None:
     starts = {f for key, f in _FIELD_KEYS.items() if len(k) >= 4 and key.startswith(k)}
     if len(starts) == 1:
         return starts.pop()
-    if len(k) >= 6:
+    if len(k) >= 5:
         near = {f for key, f in _FIELD_KEYS.items() if abs(len(key) - len(k)) <= 1 and _one_slip(key, k)}
         if len(near) == 1:
             return near.pop()
@@ -101,6 +108,7 @@ class Profile:
         self.initial: list[tuple[str, str]] = []  # (initial, family) with no given name
         self.pet: list[tuple[str, str]] = []  # (start of the given name, family)
         self.swaps: list[str] = []  # forms with two syllables of Hangul the other way round
+        self.words: list[tuple[str, str]] = []  # (word, rest) of a name without a known field
 
 
 def _turned(words: list[str]) -> list[list[str]]:
@@ -113,7 +121,7 @@ def _turned(words: list[str]) -> list[list[str]]:
     return out
 
 
-def _organisation(text: str, p: Profile) -> None:
+def _organisation(text: str, p: Profile, learned: dict[str, str]) -> None:
     inner = re.search(r"\(([^()]{3,})\)\s*$", text)
     if inner:
         text = inner[1]
@@ -121,7 +129,7 @@ def _organisation(text: str, p: Profile) -> None:
     words = [w for w in re.split(r"[\s,_\-]+", text) if w.strip(".") and w.strip(".") not in _FORMS]
     core, field = [], ""
     for w in words:
-        f = _field(w.strip("."))
+        f = learned.get(_letters(w)) or _field(w.strip("."))
         if f and not field and len(words) > 1:
             field = f
         else:
@@ -141,6 +149,8 @@ def _organisation(text: str, p: Profile) -> None:
     p.which = field
     p.forms = ["".join(map(_letters, core))]
     p.swaps = ["".join(map(_letters, c)) for c in _turned(core)]
+    if not field and len(core) > 1:
+        p.words = [(_letters(w), "".join(map(_letters, core[:k] + core[k + 1:]))) for k, w in enumerate(core)]
 
 
 def _project(text: str, p: Profile) -> None:
@@ -166,38 +176,45 @@ def _project(text: str, p: Profile) -> None:
     p.swaps = ["".join(map(_letters, c)) for c in _turned(core)]
 
 
-def _person(text: str, raw: str, p: Profile) -> None:
-    parts = [w for w in re.split(r"[\s,.]+", re.sub(r"(?<=[a-z])(?=[A-Z][a-z])", " ", raw)) if w]
-    words = [w.casefold() for w in parts]
+def _person(raw: str, p: Profile) -> None:
+    words = [w.casefold() for w in re.split(r"[\s,.]+", re.sub(r"(?<=[a-z])(?=[A-Z][a-z])", " ", raw)) if w]
     if len(words) > 1:
         words = [w for w in words if w not in _TITLES]
+    # A last syllable of respect may as well be the name's own: both readings are taken.
+    bare = [*words[:-1], _HONOURED.sub("", words[-1])] if words else []
+    for reading in [words] if bare == words else [words, bare]:
+        _read_person(reading, p)
+
+
+def _read_person(words: list[str], p: Profile) -> None:
     long = [_letters(w) for w in words if len(w) > 1]
-    p.swaps = ["".join(map(_letters, c)) for c in _turned([w for w in words if len(w) > 1])]
+    p.swaps += ["".join(map(_letters, c)) for c in _turned([w for w in words if len(w) > 1])]
     short = [w for w in words if len(w) == 1 and w.isalpha() and not "가" <= w <= "힣"]
     if len(long) >= 2:
         a, b = long[0], "".join(long[1:])
-        p.forms = [a + b, b + a]
-        p.tokens = [(a, b), (b, a)]
-        for given, family in ((a, b), (b, a)):
-            if m := _PET.match(given):
-                p.pet.append((m[1], family))
+        p.forms += [a + b, b + a]
+        p.tokens += [(a, b), (b, a)]
+        # Pet names show in the word as it is written: as letters, an l is an i.
+        for word, family in ((words[0], b), (words[-1], a)):
+            if word.isascii() and (m := _PET.match(word)):
+                p.pet.append((_letters(m[1]), family))
     elif len(long) == 1 and short:
-        p.initial = [(_letters(short[0]), long[0])]
+        p.initial.append((_letters(short[0]), long[0]))
     elif len(long) == 1:
-        p.forms = [long[0]]
-        if len(long[0]) > 6 and text.isascii():
-            p.initial = [(long[0][0], long[0][1:])]
+        p.forms.append(long[0])
+        if len(long[0]) > 6 and long[0].isascii() and words[0].isascii():
+            p.initial.append((long[0][0], long[0][1:]))
 
 
-def profile(kind: str, name: str) -> Profile:
+def profile(kind: str, name: str, learned: dict[str, str] | None = None) -> Profile:
     """Profile of a spelling: `kind` is person, organization, project, or anything else (whole name)."""
     p = Profile()
     raw = unicodedata.normalize("NFKC", name).strip()
     text = raw.casefold()
     if kind == "person":
-        _person(text, raw, p)
+        _person(raw, p)
     elif kind == "organization":
-        _organisation(text, p)
+        _organisation(text, p, learned or {})
     elif kind == "project":
         _project(text, p)
     else:
@@ -206,37 +223,56 @@ def profile(kind: str, name: str) -> Profile:
     return p
 
 
-def _slips(form: str) -> set[str]:
-    return {form} | ({form[:k] + form[k + 1:] for k in range(len(form))} if len(form) >= 6 else set())
+_ENTRY = "role string, which string, a string, b string"
+
 
+def _entries(kind: str, name: str, learned: dict[str, str] | None = None) -> list[tuple[str, str, str, str]]:
+    """(role, which, a, b) of a spelling. Roles: full and swap (a: a form, its own or one it may stand
+    for), token (given, family), initial and pet (start of the given name, family), word (word, rest)."""
+    p = profile(kind, name, learned)
+    out = {("full", p.which, f, "") for f in p.forms} | {("swap", p.which, s, "") for s in p.swaps}
+    out |= {("token", "", g, f) for g, f in p.tokens} | {("initial", "", i, f) for i, f in p.initial} | {("pet", "", g, f) for g, f in p.pet}
+    return sorted(out | {("word", "", w, r) for w, r in p.words if w and r})
 
-def _entries(kind: str, name: str) -> list[tuple[str, str, str]]:
-    """(role, block, value) of a spelling. Roles: full (block: form less a letter), has (a given name
-    with the family in the block), initial and pet (what wants such a profile), swap (another full form
-    that it may stand for)."""
-    p = profile(kind, name)
-    out = {("full", f"{p.which}|{s}", f) for f in p.forms for s in _slips(f)} | {("swap", f"{p.which}|", s) for s in p.swaps}
-    for given, family in p.tokens:
-        out |= {("has", f"{given[0]}|{s}", given) for s in _slips(family)}
-        out.add(("has", f"{given[:2]}~{family}", given))
-    for initial, family in p.initial:
-        out |= {("initial", f"{initial}|{s}", initial) for s in _slips(family)}
-    for start, family in p.pet:
-        out.add(("pet", f"{start[:2]}~{family}", start))
-    return sorted(out)
 
+def _parse(spellings: DataFrame, learned: dict[str, str]) -> DataFrame:
+    held = spellings.sparkSession.sparkContext.broadcast(learned)
+
+    @F.pandas_udf(f"array<struct<{_ENTRY.replace(' ', ':').replace(',:', ',')}>>")
+    def parse(kinds: pd.Series, names: pd.Series) -> pd.Series:
+        known = held.value
+        return pd.Series([[dict(zip(("role", "which", "a", "b"), e, strict=True)) for e in _entries(k or "", n, known)] for k, n in zip(kinds, names, strict=True)], dtype=object)
+
+    each = spellings.select("sid", "table_name", "kind", F.explode(parse("kind", "name")).alias("e"))
+    return each.select("sid", "table_name", "kind", F.concat_ws(SEPARATOR, "table_name", "kind", "e.which").alias("scope"), "e.role", "e.a", "e.b")
 
-def _spelling_entries(kinds: pd.Series, names: pd.Series) -> pd.Series:
-    return pd.Series([[{"role": r, "block": b, "value": v} for r, b, v in _entries(k or "", n)] for k, n in zip(kinds, names, strict=True)], dtype=object)
+
+def _learn_words(entries: DataFrame) -> dict[str, str]:
+    """Words for fields that names show whose rest is known with a field in other spellings. A word
+    counts by distinct rests; one that several hundred names share is a word of a language, so their
+    number is that of a vocabulary, not of the names."""
+    word = entries.filter("role = 'word'").select("table_name", "kind", F.col("a").alias("word"), F.col("b").alias("form")).distinct()
+    field = entries.filter("role = 'full'").select("table_name", "kind", F.element_at(F.split("scope", SEPARATOR), -1).alias("field"), F.col("a").alias("form")).filter("field <> ''").distinct()
+    shared = word.join(field, ["table_name", "kind", "form"]).groupBy("word", "field").agg(F.count_distinct("form").alias("n"))
+    known = word.join(field.select("table_name", "kind", "form").distinct(), ["table_name", "kind", "form"]).groupBy("word").agg(F.count_distinct("form").alias("of"))
+    good = shared.join(known, "word").filter((F.col("n") >= LEARNED[0]) & (F.col("n") >= LEARNED[1] * F.col("of")))
+    return {r.word: r.field for r in good.groupBy("word").agg(F.max_by("field", F.struct("n", "field")).alias("field")).collect()}
+
+
+def _deletions(form: Column) -> Column:
+    """A string and, from six letters on, what it is without any one of its letters."""
+    n = F.length(form)
+    less = F.transform(F.sequence(F.lit(1), n), lambda k: F.concat(F.substring(form, F.lit(1), k - 1), F.substring(form, k + 1, n)))
+    return F.when(n >= 6, F.array_distinct(F.array_append(less, form))).otherwise(F.array(form))
 
 
 def components(labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
     """labels (sid, label) after joining what links (a, b: labels) connect: the smallest label of each
-    component, by repeated minimum over neighbours and shortcut, each step a written table."""
+    component, by repeated minimum over neighbours and shortcut, each step a written table, until none moves."""
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = cut(both, f"{name}-links")
     nodes = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low")), f"{name}-low")
-    for k in range(MOST_ROUNDS):
+    for k in itertools.count():
         near = both.join(nodes.select(F.col("a").alias("b"), "low"), "b").groupBy("a").agg(F.min("low").alias("least"))
         hop = nodes.select(F.col("a").alias("low"), F.col("low").alias("lower"))
         step = nodes.join(near, "a").join(hop, "low", "left")
@@ -249,6 +285,56 @@ def components(labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
     return cut(joined.select("sid", F.coalesce("low", "label").alias("label")), f"{name}-labels")
 
 
+def _first_links(entries: DataFrame, named: DataFrame) -> DataFrame:
+    """Spellings (a, b) of equal forms, of forms one slip apart, and of one id."""
+    full = entries.filter("role = 'full'").select("scope", F.col("a").alias("form"), "sid")
+    first = cut(full.groupBy("scope", "form").agg(F.min("sid").alias("first")), "variants-forms")
+    turned = entries.filter("role = 'swap'").select("scope", F.col("a").alias("form"), "sid")
+    equal = full.unionByName(turned).distinct().join(first, ["scope", "form"]).filter("sid <> first").select(F.col("sid").alias("a"), F.col("first").alias("b"))
+    # A block holds what one added letter can make of a string, so its list is bounded whatever the names.
+    keyed = first.select(F.explode(_deletions(F.col("form"))).alias("less"), "scope", "form", "first")
+    blocks = keyed.groupBy(F.xxhash64("scope", "less").alias("k")).agg(F.collect_set(F.struct("form", "first", "scope")).alias("l")).filter(F.size("l") > 1)
+    pairs = blocks.select(F.explode("l").alias("x"), "l").select("x", F.explode("l").alias("y")).filter((F.col("x.form") < F.col("y.form")) & (F.col("x.scope") == F.col("y.scope")))
+    apart = F.levenshtein("x.form", "y.form")
+    swapped = (apart == 2) & (F.length("x.form") == F.length("y.form")) & (F.array_sort(F.split("x.form", "")) == F.array_sort(F.split("y.form", "")))
+    near = pairs.filter((apart == 1) | swapped).select(F.col("x.first").alias("a"), F.col("y.first").alias("b"))
+    # Spellings of one id are one: the id's smallest stands for the rest.
+    by_id = named.groupBy("table_name", "entity_id").agg(F.min("sid").alias("b"))
+    held = named.join(by_id, ["table_name", "entity_id"]).filter("sid <> b").select(F.col("sid").alias("a"), "b")
+    return equal.unionByName(near).unionByName(held)
+
+
+def _rematch(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    """Profiles (a, b: labels) that go together now that others have merged.
+
+    A profile's names are all its given names with all its families, whichever spelling had which.
+    Blocks are summed up to their least and greatest profile, so that a family name that many share
+    makes no pairs: what an initial or pet name fits is one profile only if both are the same.
+    """
+    of = entries.filter("role in ('token', 'initial', 'pet')").join(labels, "sid").select("scope", "role", "a", "b", "sid", "label")
+    token = of.filter("role = 'token'")
+    given, family = token.select("scope", "label", F.col("a").alias("given")).distinct(), token.select("scope", "label", F.col("b").alias("family")).distinct()
+    names = cut(given.join(family, ["scope", "label"]).filter("given <> family"), "variants-united")
+    forms = names.select("scope", F.concat("given", "family").alias("form"), "label").distinct()
+    met = forms.join(forms.groupBy("scope", "form").agg(F.min("label").alias("b"), F.max("label").alias("most")).filter("b <> most"), ["scope", "form"])
+    met = met.filter("label <> b").select(F.col("label").alias("a"), "b")
+    key = lambda what, start, rest: F.concat_ws(SEPARATOR, "scope", F.lit(what), start, rest)
+    by_initial = names.select("scope", F.left("given", F.lit(1)).alias("start"), "family", "label").distinct()
+    # A pet name doesn't fit itself.
+    starts = F.filter(F.transform(F.sequence(F.lit(2), F.length("given") - 1), lambda k: F.left(F.col("given"), k)), lambda x: x != F.regexp_extract("given", f"^{_PET.pattern}", 1))
+    by_start = names.filter(F.length("given") > 2).select("scope", F.explode(starts).alias("start"), "family", "label").distinct()
+    has = by_initial.select(F.explode(_deletions(F.col("family"))).alias("rest"), "scope", "start", "label").select(key("initial", F.col("start"), F.col("rest")).alias("block"), "label")
+    has = cut(has.unionByName(by_start.select(key("pet", F.col("start"), F.col("family")).alias("block"), "label")).distinct(), "variants-has")
+    wants = of.filter("role <> 'token'").select("role", "sid", "label", "scope", F.col("a").alias("start"), F.explode(F.when(F.col("role") == "initial", _deletions(F.col("b"))).otherwise(F.array("b"))).alias("rest"))
+    wants = wants.select("role", "sid", "label", key(F.col("role"), F.col("start"), F.col("rest")).alias("block"))
+    ends = has.groupBy("block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    fits = wants.join(ends, "block").groupBy("role", "sid", "label").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    # A spelling that has its profile already looks for no other.
+    inside = wants.join(has, ["block", "label"], "left_semi").select("role", "sid").distinct()
+    one = fits.filter("low = high and low <> label").join(inside, ["role", "sid"], "left_anti").select(F.col("label").alias("a"), F.col("low").alias("b"))
+    return met.unionByName(one).distinct()
+
+
 def link_variants(entities: DataFrame) -> DataFrame:
     """The class of each id whose names name the same.
 
@@ -261,48 +347,15 @@ def link_variants(entities: DataFrame) -> DataFrame:
     """
     given = entities.select("table_name", "entity_id", "kind", "name").filter("entity_id is not null").distinct()
     named = given.filter("name is not null").withColumn("kind", F.coalesce("kind", F.lit("")))
-    named = cut(named.withColumn("sid", F.xxhash64("table_name", "kind", "name")), "variants-named")
-    spellings = named.select("sid", "table_name", "kind", "name").dropDuplicates(["sid"])
-    parse = F.pandas_udf(_spelling_entries, "array<struct<role:string,block:string,value:string>>")
-    each = spellings.select("sid", "table_name", "kind", F.explode(parse("kind", "name")).alias("e"))
-    entries = cut(each.select("sid", "table_name", "kind", "e.role", "e.block", "e.value"), "variants-entries")
-    place = ["table_name", "kind", "block"]
-    # A block of full forms holds what one added letter can make of a string, so it is bounded; equal
-    # forms are represented by their smallest spelling.
-    full = entries.filter("role = 'full'").groupBy(*place, "value").agg(F.min("sid").alias("sid"))
-    same = entries.filter("role = 'full'").select("table_name", "kind", F.split("block", r"\|")[0].alias("which"), "value", "sid").distinct()
-    first = same.groupBy("table_name", "kind", "which", "value").agg(F.min("sid").alias("first"))
-    equal = same.join(first, ["table_name", "kind", "which", "value"]).filter("sid <> first").select(F.col("sid").alias("a"), F.col("first").alias("b"))
-    turned = entries.filter("role = 'swap'").select("table_name", "kind", F.split("block", r"\|")[0].alias("which"), "value", "sid").distinct()
-    swaps = turned.join(first, ["table_name", "kind", "which", "value"]).filter("sid <> first").select(F.col("sid").alias("a"), F.col("first").alias("b"))
-    x, y = full.alias("x"), full.alias("y")
-    apart = F.levenshtein("x.value", "y.value")
-    swapped = (apart == 2) & (F.length("x.value") == F.length("y.value")) & (F.array_sort(F.split("x.value", "")) == F.array_sort(F.split("y.value", "")))
-    near = (
-        x.join(y, (F.col("x.block") == F.col("y.block")) & (F.col("x.table_name") == F.col("y.table_name")) & (F.col("x.kind") == F.col("y.kind")))
-        .filter((F.col("x.value") < F.col("y.value")) & ((apart == 1) | swapped))
-        .select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
-    )
-    # Spellings of one id are one: the id's smallest stands for the rest.
-    by_id = named.groupBy("table_name", "entity_id").agg(F.min("sid").alias("b"))
-    held = named.join(by_id, ["table_name", "entity_id"]).filter("sid <> b").select(F.col("sid").alias("a"), "b")
-    labels = spellings.select("sid", F.col("sid").alias("label"))
-    labels = components(labels, equal.unionByName(near).unionByName(swaps).unionByName(held), "variants-0")
-    has = entries.filter("role = 'has'").select(*place, F.col("sid").alias("full_sid"), F.col("value").alias("given_name"))
-    wants = entries.filter("role in ('initial', 'pet')").select(*place, "role", F.col("value").alias("wanted"), "sid")
-    fits = cut(
-        wants.join(has, place)
-        .filter((F.col("sid") != F.col("full_sid")) & (F.col("given_name") != F.col("wanted")) & F.expr("startswith(given_name, wanted)"))
-        .groupBy("role", "sid", "full_sid").agg(F.count("*").alias("n")),
-        "variants-fits",
-    )
-    for k in range(1, MOST_ROUNDS):
-        # Profiles that a spelling fits, as merged so far: one only, or it stays apart.
-        of = fits.join(labels.select("sid", F.col("label").alias("a")), "sid").join(labels.select(F.col("sid").alias("full_sid"), F.col("label").alias("b")), "full_sid")
-        one = of.filter("a <> b").groupBy("role", "sid", "a").agg(F.min("b").alias("b"), F.max("b").alias("most")).filter("b = most")
-        inside = of.filter("a = b").select("role", "sid").distinct()
-        # A spelling that has its profile already looks for no other.
-        links = cut(one.join(inside, ["role", "sid"], "left_anti").select("a", "b").distinct(), f"variants-more-{k}")
+    named = cut(named.withColumn("sid", F.md5(F.to_json(F.struct("table_name", "kind", "name")).cast("binary"))), "variants-named")
+    spellings = cut(named.select("sid", "table_name", "kind", "name").distinct(), "variants-spellings")
+    entries = cut(_parse(spellings, {}), "variants-entries")
+    learned = _learn_words(entries)
+    if learned:
+        entries = cut(_parse(spellings, learned), "variants-entries")
+    labels = components(spellings.select("sid", F.col("sid").alias("label")), _first_links(entries, named), "variants-0")
+    for k in itertools.count(1):
+        links = cut(_rematch(entries, labels), f"variants-more-{k}")
         if links.isEmpty():
             break
         labels = components(labels, links, f"variants-{k}")
