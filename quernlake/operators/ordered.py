@@ -36,6 +36,18 @@ def with_group_starts(df: DataFrame, keys: list[str], order: str, starts, carry:
     return joined.withColumn("group_start", F.coalesce("_in", "_carried")).drop("_start", "_in", "_carried", "_bucket")
 
 
+def last_before(df: DataFrame, keys: list[str], order: str, columns: list[str], bits: int = BUCKET_BITS) -> DataFrame:
+    """Add `<column>_before` for each column: its last value that isn't null in the rows before of the
+    same key, by buckets of the order, of which one row each meets the others of its key."""
+    cut = df.withColumn("_bucket", F.shiftright(order, bits))
+    inner = W.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    outer = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    ends = cut.groupBy(*keys, "_bucket").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_{c}") for c in columns))
+    ends = ends.select(*keys, "_bucket", *(F.last(f"_{c}", ignorenulls=True).over(outer).alias(f"_{c}") for c in columns))
+    seen = cut.select("*", *(F.last(c, ignorenulls=True).over(inner).alias(f"_in_{c}") for c in columns)).join(ends, [*keys, "_bucket"])
+    return seen.select(*df.columns, *(F.coalesce(f"_in_{c}", f"_{c}").alias(f"{c}_before") for c in columns))
+
+
 def gap_over(at: Column, before: Column, minutes: int) -> Column:
     """Whether a time is more than so many minutes after another; exactly as many are no gap."""
     return F.timestamp_diff("SECOND", before, at) > minutes * 60
