@@ -119,11 +119,41 @@ def test_conversations_over_blocks_and_late_rows(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "messages.parquet")
     spark.createDataFrame(rows, shape).coalesce(1).write.parquet(path)
     members = spark.createDataFrame([(r, s, role) for r in (1, 2) for s, role in ((10, "host"), (11, "member"), (12, None))], "room_id int, id int, speaker_role string")
-    whole, _ = conversations.conversations(conversations.emit(spark, path, members, False).filter("not is_turn"))
+    whole, _ = conversations.conversations(conversations.emit(spark, path, members, False))
     got = {(r.room_id, r.start_seq) for r in whole.filter("broken or empty or unanswered").collect()}
     assert got == brute_conversations(rows, {(r, s) for r in (1, 2) for s in (10, 11, 12)})
 
 
+def test_rows_of_later_batches_are_waited_for(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(conversations, "BLOCK_BITS", 3)
+    monkeypatch.setattr(conversations, "EDGE_BITS", 4)
+    rng = random.Random(5)
+    at, rows = datetime(2015, 1, 1), []
+    for seq in range(1, 120):
+        at += timedelta(minutes=rng.choice([1, 2, 5, 40]))
+        rows.append((seq, 1, seq, at, rng.choice([10, 11]), "text", "hi", at + timedelta(days=rng.choice([0, 0, 9]))))
+    rows.sort(key=lambda r: r[7])
+    late = (999, 1, 8, rows[0][3], 99, "text", "too late", datetime(2015, 6, 1))
+    shape = "id bigint, room_id int, seq int, sent_at timestamp_ntz, sender_id int, msg_type string, text string, loaded_at timestamp"
+    members = spark.createDataFrame([(1, 10, "host"), (1, 11, "member")], "room_id int, id int, speaker_role string")
+    path, beats, folder = str(tmp_path / "m"), str(tmp_path / "beats"), str(tmp_path / "run")
+    spark.createDataFrame([], shape).write.parquet(beats)
+    # Each part is a run of its own: what the state holds goes on from run to run.
+    for part in (rows[:40], rows[40:90], rows[90:]):
+        spark.createDataFrame(part, shape).coalesce(1).write.mode("append").parquet(path)
+        conversations.run_stream(spark, path, beats, folder, members, True)
+    assert not list((tmp_path / "run" / "out").glob("*.parquet")) or spark.read.schema(conversations._OUT).parquet(f"{folder}/out").count() == 0
+    for n, when in ((1, datetime(2015, 5, 1)), (2, datetime(2015, 9, 1))):
+        spark.createDataFrame([(None, None, 0, None, None, None, None, when)], shape).write.mode("append").parquet(beats)
+        conversations.run_stream(spark, path, beats, folder, members, True)
+        spark.createDataFrame([late], shape).coalesce(1).write.mode("append").parquet(path)
+    out = spark.read.schema(conversations._OUT).parquet(f"{folder}/out")
+    whole, _ = conversations.conversations(out)
+    got = [(r.room_id, r.start_seq) for r in whole.filter("broken or empty or unanswered").collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_conversations(rows, {(1, 10), (1, 11)})
+    assert out.filter("kind = 'edge'").groupBy("room_id", "block", "part").count().filter("count > 1").count() == 0
+
+
 def test_no_messages(spark, tmp_path):
     shape = "id bigint, room_id int, seq int, sent_at timestamp_ntz, sender_id int, msg_type string, text string, loaded_at timestamp"
     spark.createDataFrame([], shape).write.parquet(str(tmp_path / "m.parquet"))
