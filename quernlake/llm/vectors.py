@@ -21,11 +21,15 @@ from pyspark.sql import functions as F
 from quernlake.session import table
 
 DIMENSIONS = 64
-#: Vectors of one cell on the average, cells of one vector, and the most cells of a part: the cells'
-#: centroids are the only thing that is sent everywhere (1 MB at most a part).
-CELL_ROWS, SPILL, MOST_CELLS = 4000, 3, 4096
-#: Rows a part's index is fitted on, at most: a bounded sample by a hash of the id.
-SAMPLE_ROWS = 16_384
+#: Vectors of one cell on the average, cells of one vector, and the most cells of a part: their centroids
+#: are what is sent everywhere (64 MB at most a part; cells of more than 10^9 rows a part are larger).
+CELL_ROWS, SPILL, MOST_CELLS = 4000, 3, 262_144
+#: Rows, by a hash of the id, that the driver fits a part's coarse centroids and codebooks on, and coarse
+#: centroids at most. Where a part needs more cells, each coarse one is parted in Spark, on about
+#: CELL_SAMPLE rows a cell, and a vector is tried against the cells of its nearest COARSE_NEAR.
+SAMPLE_ROWS, COARSE, CELL_SAMPLE, COARSE_NEAR = 8192, 256, 32, 8
+#: Rows of a task of the search, on the average.
+TASK_ROWS = 16_384
 #: Estimated rows of a cell beyond which it is worked off in blocks.
 BLOCK_ROWS = 40_000
 SUBSPACES, CODES = 16, 16
@@ -39,6 +43,25 @@ class Index(NamedTuple):
     centroids: np.ndarray  # (cells, d)
     books: np.ndarray  # (subspaces, codes, d / subspaces)
     blocks: np.ndarray  # (cells,) blocks a cell is worked off in
+    coarse: np.ndarray  # (coarse cells, d)
+    firsts: np.ndarray  # (coarse cells + 1,) where the cells of a coarse one start; empty with one level
+
+    def nearest(self, x: np.ndarray) -> np.ndarray:
+        """The nearest cells of each vector, -1 where there are fewer."""
+        if not len(self.firsts):
+            return np.argsort(-(x @ self.centroids.T), axis=1)[:, : min(SPILL, len(self.centroids))]
+        near = np.argsort(-(x @ self.coarse.T), axis=1)[:, :COARSE_NEAR]
+        best, score = np.full((len(x), SPILL), -1), np.full((len(x), SPILL), -np.inf)
+        for c in np.unique(near):
+            at = np.flatnonzero((near == c).any(1))
+            lo, hi = self.firsts[c], self.firsts[c + 1]
+            if lo == hi:
+                continue
+            all_scores = np.concatenate([score[at], x[at] @ self.centroids[lo:hi].T], axis=1)
+            all_cells = np.concatenate([best[at], np.broadcast_to(np.arange(lo, hi), (len(at), hi - lo))], axis=1)
+            top = np.argsort(-all_scores, axis=1)[:, :SPILL]
+            best[at], score[at] = np.take_along_axis(all_cells, top, 1), np.take_along_axis(all_scores, top, 1)
+        return best
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -121,14 +144,40 @@ def fit_books(x: np.ndarray, residual: np.ndarray, rng: np.random.Generator, rou
 
 
 def fit_index(sample: np.ndarray, rows: int, cell_rows: int = CELL_ROWS) -> Index:
+    """The index of a part of few cells, or the coarse one of a part of many."""
     rng = np.random.default_rng(7)
     x = _unit(sample.astype(np.float32))
-    cells = int(min(MOST_CELLS, max(1, -(-rows // cell_rows)), max(1, len(x) // 4)))
+    cells = int(min(COARSE, max(1, -(-rows // cell_rows)), max(1, len(x) // 4)))
     centroids = fit_centroids(x, cells, rng)
     near = np.argsort(-(x @ centroids.T), axis=1)[:, : min(SPILL, len(centroids))]
     books = fit_books(x, x - centroids[near[:, 0]], rng)
     share = np.bincount(near.ravel(), minlength=len(centroids)) / len(x)
-    return Index(centroids, books, np.maximum(1, np.ceil(share * rows / BLOCK_ROWS)).astype(int))
+    return Index(centroids, books, np.maximum(1, np.ceil(share * rows / BLOCK_ROWS)).astype(int), centroids, np.empty(0, int))
+
+
+def refine_index(index: Index, rows: DataFrame, n: int, cell_rows: int) -> Index:
+    """The index of a part (rows: id, vector) with the coarse cells of index parted further, in Spark."""
+    cells = int(min(MOST_CELLS, -(-n // cell_rows)))
+    every = max(1, n // (cells * CELL_SAMPLE))
+    held = rows.sparkSession.sparkContext.broadcast(index.coarse)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = (_matrix(batch.column("vector")) @ held.value.T).argmax(1) if batch.num_rows else np.empty(0, int)
+            yield pa.RecordBatch.from_arrays([batch.column("vector"), pa.array(near, pa.int32())], names=["vector", "coarse"])
+
+    def part(group: pa.Table) -> pa.Table:
+        x = _matrix(group["vector"])
+        c = fit_centroids(x, max(1, min(len(x) // 4, round(len(x) / CELL_SAMPLE))), np.random.default_rng(7))
+        size = np.bincount((x @ c.T).argmax(1), minlength=len(c))
+        return pa.table({"coarse": pa.array([group["coarse"][0].as_py()] * len(c), pa.int32()), "size": pa.array(size, pa.int64()), "centroid": pa.array(list(c), pa.list_(pa.float32()))})
+
+    sample = rows.filter(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(every)) == 0).select("vector")
+    found = sample.mapInArrow(place, "vector array<float>, coarse int").groupBy("coarse").applyInArrow(part, "coarse int, size bigint, centroid array<float>").toPandas()
+    found = found.sort_values("coarse", kind="stable")
+    firsts = np.searchsorted(found["coarse"].to_numpy(), np.arange(len(index.coarse) + 1))
+    blocks = np.maximum(1, np.ceil(found["size"].to_numpy() * every * SPILL / BLOCK_ROWS)).astype(int)
+    return Index(np.stack(found["centroid"]).astype(np.float32), index.books, blocks, index.coarse, firsts)
 
 
 def scan(data: np.ndarray, queries: np.ndarray, centroid: np.ndarray, books: np.ndarray, keep: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -206,15 +255,18 @@ def similar_vectors(vectors: DataFrame, k: int = 10, least: float | None = None,
     Result: part, id, neighbour, cosine, at most k rows an id.
     """
     spark = vectors.sparkSession
+    # A row a part comes to the driver: tables and models.
     rows = vectors.select("part", "id", "vector", F.coalesce("asked", F.lit(True)).alias("asked")).filter("id is not null and part is not null").filter(usable(F.col("vector")))
     counts = {r.part: r["count"] for r in rows.groupBy("part").count().collect()}  # a row per part: tables and models
     indexes: dict[str, Index] = {}
     for part, n in counts.items():
-        every = max(1, n // SAMPLE_ROWS)
-        sample = rows.filter((F.col("part") == part) & (F.pmod(F.xxhash64("id"), F.lit(every)) == 0)).select("vector").limit(2 * SAMPLE_ROWS).toArrow()
+        own = rows.filter(F.col("part") == part)
+        every = max(1, -(-n // SAMPLE_ROWS))
+        sample = own.filter(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("vector").limit(2 * SAMPLE_ROWS).toArrow()
         if sample.num_rows == 0:
-            sample = rows.filter(F.col("part") == part).select("vector").limit(SAMPLE_ROWS).toArrow()
-        indexes[part] = fit_index(_matrix(sample["vector"]), n, cell_rows)
+            sample = own.select("vector").limit(SAMPLE_ROWS).toArrow()
+        index = fit_index(_matrix(sample["vector"]), n, cell_rows)
+        indexes[part] = refine_index(index, own, n, cell_rows) if n > COARSE * cell_rows else index
     shared = spark.sparkContext.broadcast(indexes)
     floor = -2.0 if least is None else float(least)
 
@@ -231,8 +283,9 @@ def similar_vectors(vectors: DataFrame, k: int = 10, least: float | None = None,
             for part in np.unique(parts):
                 index = shared.value[part]
                 at = np.flatnonzero(parts == part)
-                near = np.argsort(-(x[at] @ index.centroids.T), axis=1)[:, : min(SPILL, len(index.centroids))]
-                for r in range(near.shape[1]):
+                every_near, every_at = index.nearest(x[at]), at
+                for r in range(every_near.shape[1]):
+                    at, near = every_at[every_near[:, r] >= 0], every_near[every_near[:, r] >= 0]
                     blocks = index.blocks[near[:, r]]
                     plain = blocks == 1
                     where.append(at[plain]), cell.append(near[plain, r]), block.append(np.zeros(plain.sum(), int)), role.append(np.full(plain.sum(), 3))
@@ -266,7 +319,9 @@ def similar_vectors(vectors: DataFrame, k: int = 10, least: float | None = None,
         ids = group["id"].combine_chunks()
         return pa.Table.from_arrays([pa.array([part] * len(q), pa.string()), ids.take(pa.array(of[q])), ids.take(pa.array(among[i])), pa.array(s.astype(np.float64))], schema=schema)
 
-    near = dealt.groupBy("part", "cell", "block").applyInArrow(search, "part string, id string, neighbour string, cosine double")
+    # Partitions by rows: a task holds a few cells, whatever the number of rows.
+    tasks = max(8, -(-sum(counts.values()) * SPILL // TASK_ROWS))
+    near = dealt.repartition(tasks, "part", "cell", "block").groupBy("part", "cell", "block").applyInArrow(search, "part string, id string, neighbour string, cosine double")
     near = near.groupBy("part", "id", "neighbour").agg(F.max("cosine").alias("cosine"))
     # Which ids are copies shows by 96 bits of hash, so that no vector travels for it.
     keyed = rows.select("part", F.xxhash64("vector").alias("h"), F.hash("vector").alias("g"), "id", "asked")

@@ -185,6 +185,22 @@ def test_similar_vectors_like_brute_force(spark):
     assert all(copies - {c} <= set(got[c]) for c in copies)
 
 
+def test_cells_of_two_levels(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "COARSE", 4)
+    rng = np.random.default_rng(9)
+    centers = rng.standard_normal((40, 64))
+    x = (centers[rng.integers(0, 40, 3000)] + 0.6 * rng.standard_normal((3000, 64))).astype(np.float32)
+    df = spark.createDataFrame([("p", f"{k:04d}", [float(v) for v in x[k]], k % 10 == 0) for k in range(len(x))], "part string, id string, vector array<float>, asked boolean")
+    got = {}
+    for r in vectors.similar_vectors(df, 10, cell_rows=100).collect():
+        got.setdefault(int(r.id), set()).add(int(r.neighbour))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    asked = np.arange(0, 3000, 10)
+    s = u[asked] @ u.T
+    s[np.arange(len(asked)), asked] = -2
+    assert sum(len(set(np.argsort(-s[n])[:10]) & got[a]) for n, a in enumerate(asked)) > 0.9 * 10 * len(asked)
+
+
 def test_few_and_no_vectors(spark):
     shape = "part string, id string, vector array<float>, asked boolean"
     assert vectors.similar_vectors(spark.createDataFrame([], shape)).count() == 0
