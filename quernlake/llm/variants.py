@@ -304,7 +304,18 @@ def _first_links(entries: DataFrame, named: DataFrame) -> DataFrame:
     return equal.unionByName(near).unionByName(held)
 
 
-def _rematch(entries: DataFrame, labels: DataFrame) -> DataFrame:
+def _wanted_families(entries: DataFrame) -> DataFrame:
+    """scope, role, wanted, family: the families that a bare initial's or pet name's family may stand
+    for, itself or one slip apart for initials. It is found once, for families as they are written."""
+    want = entries.filter("role in ('initial', 'pet')").select("scope", "role", F.col("b").alias("wanted")).distinct()
+    family = entries.filter("role = 'token'").select("scope", F.col("b").alias("family")).distinct()
+    left = want.filter("role = 'initial'").select("scope", "wanted", F.explode(_deletions(F.col("wanted"))).alias("rest"))
+    near = left.join(family.select("scope", "family", F.explode(_deletions(F.col("family"))).alias("rest")), ["scope", "rest"])
+    near = near.select("scope", F.lit("initial").alias("role"), "wanted", "family").distinct()
+    return cut(near.unionByName(want.filter("role = 'pet'").withColumn("family", F.col("wanted"))), "variants-wanted")
+
+
+def _rematch(entries: DataFrame, labels: DataFrame, wanted: DataFrame) -> DataFrame:
     """Profiles (a, b: labels) that go together now that others have merged.
 
     A profile's names are all its given names with all its families, whichever spelling had which.
@@ -318,19 +329,18 @@ def _rematch(entries: DataFrame, labels: DataFrame) -> DataFrame:
     forms = names.select("scope", F.concat("given", "family").alias("form"), "label").distinct()
     met = forms.join(forms.groupBy("scope", "form").agg(F.min("label").alias("b"), F.max("label").alias("most")).filter("b <> most"), ["scope", "form"])
     met = met.filter("label <> b").select(F.col("label").alias("a"), "b")
-    key = lambda what, start, rest: F.concat_ws(SEPARATOR, "scope", F.lit(what), start, rest)
-    by_initial = names.select("scope", F.left("given", F.lit(1)).alias("start"), "family", "label").distinct()
+    asked = names.join(wanted.select("scope", "family").distinct(), ["scope", "family"], "left_semi")
     # A pet name doesn't fit itself.
     starts = F.filter(F.transform(F.sequence(F.lit(2), F.length("given") - 1), lambda k: F.left(F.col("given"), k)), lambda x: x != F.regexp_extract("given", f"^{_PET.pattern}", 1))
-    by_start = names.filter(F.length("given") > 2).select("scope", F.explode(starts).alias("start"), "family", "label").distinct()
-    has = by_initial.select(F.explode(_deletions(F.col("family"))).alias("rest"), "scope", "start", "label").select(key("initial", F.col("start"), F.col("rest")).alias("block"), "label")
-    has = cut(has.unionByName(by_start.select(key("pet", F.col("start"), F.col("family")).alias("block"), "label")).distinct(), "variants-has")
-    wants = of.filter("role <> 'token'").select("role", "sid", "label", "scope", F.col("a").alias("start"), F.explode(F.when(F.col("role") == "initial", _deletions(F.col("b"))).otherwise(F.array("b"))).alias("rest"))
-    wants = wants.select("role", "sid", "label", key(F.col("role"), F.col("start"), F.col("rest")).alias("block"))
-    ends = has.groupBy("block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    fits = wants.join(ends, "block").groupBy("role", "sid", "label").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    has = asked.select("scope", F.lit("initial").alias("role"), F.left("given", F.lit(1)).alias("start"), "family", "label")
+    has = has.unionByName(asked.filter(F.length("given") > 2).select("scope", F.lit("pet").alias("role"), F.explode(starts).alias("start"), "family", "label"))
+    block = ["scope", "role", "start", "family"]
+    has = cut(has.distinct(), "variants-has")
+    wants = of.filter("role <> 'token'").select("scope", "role", "sid", "label", F.col("a").alias("start"), F.col("b").alias("wanted")).join(wanted, ["scope", "role", "wanted"])
+    ends = has.groupBy(*block).agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    fits = wants.join(ends, block).groupBy("role", "sid", "label").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     # A spelling that has its profile already looks for no other.
-    inside = wants.join(has, ["block", "label"], "left_semi").select("role", "sid").distinct()
+    inside = wants.join(has, [*block, "label"], "left_semi").select("role", "sid").distinct()
     one = fits.filter("low = high and low <> label").join(inside, ["role", "sid"], "left_anti").select(F.col("label").alias("a"), F.col("low").alias("b"))
     return met.unionByName(one).distinct()
 
@@ -352,10 +362,13 @@ def link_variants(entities: DataFrame) -> DataFrame:
     entries = cut(_parse(spellings, {}), "variants-entries")
     learned = _learn_words(entries)
     if learned:
-        entries = cut(_parse(spellings, learned), "variants-entries")
+        open_names = entries.filter("role = 'word'").select("sid").distinct()
+        again = _parse(spellings.join(open_names, "sid", "left_semi"), learned)
+        entries = cut(entries.join(open_names, "sid", "left_anti").unionByName(again), "variants-entries")
+    wanted = _wanted_families(entries)
     labels = components(spellings.select("sid", F.col("sid").alias("label")), _first_links(entries, named), "variants-0")
     for k in itertools.count(1):
-        links = cut(_rematch(entries, labels), f"variants-more-{k}")
+        links = cut(_rematch(entries, labels, wanted), f"variants-more-{k}")
         if links.isEmpty():
             break
         labels = components(labels, links, f"variants-{k}")
