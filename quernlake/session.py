@@ -7,7 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: Queries or other rows of a block that is sent everywhere at a time.
@@ -80,6 +80,14 @@ def cut(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Data
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_rows(df: DataFrame, most: int, what: str) -> list[Row]:
+    """The rows of a table that is small by definition; more than `most` are an error, never cut off."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} {what}")
+    return rows
+
+
 def hot_keys(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame | None:
     """The keys of df with more than hot_rows rows and their `count`, or None where there is none."""
     return hot_counts(df.groupBy(*keys).count().filter(F.col("count") > hot_rows))
