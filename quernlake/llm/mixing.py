@@ -14,10 +14,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quernlake.llm.tokens import encode_corpus
-from quernlake.session import cut, table
+from quernlake.session import bounded_rows, cut, table
 
-#: Bins of the Pareto ranks of a source.
-RANK_BINS = 4096
+#: Bits of a Pareto rank, and those by which its edge is narrowed down in a pass: 4,096 bins a source.
+RANK_BITS, BIN_BITS = 48, 12
+#: Documents at the edge that may be put in order in one task.
+EDGE_ROWS = 10_000
 #: Sources a mix may have: their statistics go to the driver.
 MOST_SOURCES = 4096
 
@@ -46,7 +48,7 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: int | No
     """One mix in which each source has its target share of the tokens.
 
     documents: doc_id, source, n_tokens. targets: source, target_share, max_repeats, a row per source
-    (the first by source where repeated; at most MOST_SOURCES). Without total_tokens the mix is the
+    (the least where repeated; more than MOST_SOURCES are an error). Without total_tokens the mix is the
     largest in which every source that has tokens reaches its share; with it, a source that can't fill
     its part within max_repeats is used as far as it goes. Documents of no target's source, of a null
     source, or without tokens are not used, and sources without documents report a share of 0; shares
@@ -57,7 +59,8 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: int | No
     max_repeats, n_documents, n_used, n_copies, tokens, share.
     """
     spark = documents.sparkSession
-    goals = {r.source: r for r in targets.select("source", "target_share", "max_repeats").dropna().orderBy("source").limit(MOST_SOURCES).collect()}
+    wanted = targets.select("source", "target_share", "max_repeats").dropna()
+    goals = {r.source: r for r in sorted(bounded_rows(wanted, MOST_SOURCES, "targets"), reverse=True)}
     docs = (
         documents.select("doc_id", "source", F.col("n_tokens").cast("bigint").alias("n_tokens"))
         .filter("n_tokens > 0")
@@ -81,32 +84,39 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: int | No
         plan += [(s, k, int(c), c - int(c)) for k, c in copies.items()]
         extra[s] = min(quota, sum(b.values()) * goals[s].max_repeats) - sum(t * int(copies[k]) for k, t in b.items())
     plan_df = spark.createDataFrame(plan, "source string, bin int, whole int, part double")  # at most 63 rows a source
-    # Rank: random odds over inclusion odds; as a probability it falls into bins of equal width.
+    # Rank: random odds over inclusion odds, as a probability. A source's quota ends at a rank that is
+    # narrowed down by bins of equal width until few documents are left to be put in order.
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("part") / (1 - F.col("part")))
-    ranked = (
-        docs.join(F.broadcast(plan_df), ["source", "bin"])
-        .withColumn("rank", F.when(F.col("part") > 0, odds / (1 + odds)))
-        .withColumn("slot", F.least(F.floor(F.col("rank") * RANK_BINS).cast("int"), F.lit(RANK_BINS - 1)))
-    )
-    counts: dict[str, list[tuple[int, int]]] = {}
-    for r in ranked.filter("slot is not null").groupBy("source", "slot").agg(F.sum("n_tokens").alias("t")).collect():
-        counts.setdefault(r.source, []).append((r.slot, r.t))
-    edges = []
-    for s in bins:
-        left, edge = extra[s], RANK_BINS
-        for slot, t in sorted(counts.get(s, [])):
-            if t > left:
-                edge = slot
-                break
-            left -= t
-        edges.append((s, edge, float(left)))
-    edges_df = spark.createDataFrame(edges, "source string, edge int, left double")
-    placed = ranked.join(F.broadcast(edges_df), "source")
+    ranked = docs.join(F.broadcast(plan_df), ["source", "bin"]).withColumn("rank", F.when(F.col("part") > 0, F.floor(odds / (1 + odds) * F.lit(float(2**RANK_BITS))).cast("bigint")))
+    ranked = cut(ranked, "mix-ranked")
+    everything = (0, 2 ** (RANK_BITS + 1))
+    ends = {s: (RANK_BITS, 0, extra[s]) for s in bins}  # shift and value of the ranks at the edge, tokens still to draw there
+    wide, shift = set(bins), RANK_BITS
+    while wide and shift >= BIN_BITS:
+        limits = spark.createDataFrame([(s, ends[s][1]) for s in wide], "source string, edge bigint")
+        inside = ranked.join(F.broadcast(limits), "source").filter(F.shiftright("rank", shift) == F.col("edge"))
+        shift -= BIN_BITS
+        counts: dict[str, list[tuple[int, int, int]]] = {}
+        for r in inside.groupBy("source", F.shiftright("rank", shift).alias("slot")).agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).collect():  # 2**BIN_BITS a source
+            counts.setdefault(r.source, []).append((r.slot, r.t, r.n))
+        for s in list(wide):
+            left, edge, n = ends[s][2], None, 0
+            for slot, t, n in sorted(counts.get(s, [])):
+                if t > left:
+                    edge = slot
+                    break
+                left -= t
+            ends[s] = (*everything, left) if edge is None else (shift, edge, left)
+            if edge is None or n <= EDGE_ROWS:
+                wide.discard(s)
+    edges_df = spark.createDataFrame([(s, *e[:2], float(e[2])) for s, e in ends.items()], "source string, shift int, edge bigint, left double")
+    placed = ranked.join(F.broadcast(edges_df), "source").withColumn("slot", F.expr("shiftright(rank, shift)"))
+    at_edge = F.coalesce(F.col("slot") == F.col("edge"), F.lit(False))
     w = W.partitionBy("source").orderBy("rank", "doc_id")
     upto = F.sum("n_tokens").over(w.rowsBetween(W.unboundedPreceding, 0))
-    # In the last bin, a document is in as long as that brings the tokens nearer to the quota.
-    last = placed.filter("slot = edge").withColumn("drawn", (upto - F.col("n_tokens") / 2 <= F.col("left")).cast("int"))
-    others = placed.filter("slot is null or slot <> edge").withColumn("drawn", F.coalesce((F.col("slot") < F.col("edge")).cast("int"), F.lit(0)))
+    # At the edge, a document is in as long as that brings the tokens nearer to the quota.
+    last = placed.filter(at_edge).withColumn("drawn", (upto - F.col("n_tokens") / 2 <= F.col("left")).cast("int"))
+    others = placed.filter(~at_edge).withColumn("drawn", F.coalesce((F.col("slot") < F.col("edge")).cast("int"), F.lit(0)))
     mix = others.unionByName(last).select("doc_id", "source", "n_tokens", (F.col("whole") + F.col("drawn")).alias("copies"))
     used = mix.groupBy("source").agg(
         F.count("*").alias("n_documents"), F.count_if(F.col("copies") > 0).alias("n_used"), F.sum("copies").alias("n_copies"), F.sum(F.col("copies") * F.col("n_tokens")).alias("tokens")

@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernlake.session import table
+from quernlake.session import bounded_rows, table
 
 #: Strengths of boundaries: message, paragraph, line, sentence, word.
 MESSAGE, PARAGRAPH, LINE, SENTENCE, WORD = 5, 4, 3, 2, 1
@@ -94,12 +94,16 @@ def split_text(text: str, limit: int, overlap: int = 0, by_message: bool = False
     at, strength = boundaries(text, messages)
     step = limit - (0 if by_message else overlap)
     pieces = max(2, -(-(n - (limit - step)) // step))
+    tries = 0
     while pieces <= n:
         spans = _attempt(text, pieces, limit, overlap, by_message, messages, at, strength)
         if spans:
             return spans
-        pieces += max(1, pieces // 16)
-    return [(k, min(n, k + limit)) for k in range(0, n, limit)]
+        # One more at a time, so that it is the least number; in larger and larger steps only where that many more failed.
+        tries += 1
+        pieces += 1 if tries < 64 else 2 ** (tries // 64)
+    spans = [(k, min(n, k + limit)) for k in range(0, n, step)]
+    return [x for x in spans if x == spans[0] or x[1] - x[0] > limit - step]
 
 
 def _same_length(text: str) -> str:
@@ -197,7 +201,7 @@ def split_items(items: DataFrame) -> DataFrame:
 
 def _items(spark: SparkSession, sf_dir: str, with_messages: bool) -> DataFrame:
     # A fixed table of a row per text field.
-    limits = {r.table_name: r for r in table(spark, sf_dir, "split_limits").limit(64).collect()}
+    limits = {r.table_name: r for r in bounded_rows(table(spark, sf_dir, "split_limits"), 64, "split limits")}
     none = "array<struct<seq:int,text:string>>"
 
     def limited(df: DataFrame, name: str) -> DataFrame:

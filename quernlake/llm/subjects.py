@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernlake.session import cut, table
+from quernlake.session import bounded_rows, cut, table
 
 _HTML = re.compile(r"<[^<>]{1,200}>|&(?:[a-z]+|#\d+);")
 _FRONT = re.compile(r"\A\s*---\s*\n.*?\n\s*---\s*(?:\n|\Z)", re.S)
@@ -35,8 +35,9 @@ _WORD = re.compile(r"[A-Za-z][A-Za-z-]*|[가-힣]+")
 _PARTICLES = sorted(
     "은 는 이 가 을 를 의 에 에서 로 으로 과 와 도 만 부터 까지 보다 라고 이라고 랑 이랑 에는 에게 처럼 마다 이나 나 라는 이라는 과의 와의 로는 으로는".split(), key=len, reverse=True
 )
-#: Terms in fewer documents than this tell nothing; at most MOST_TERMS terms, the most frequent, are weighed.
-MIN_DOCUMENTS, MAX_SHARE, MOST_TERMS = 5, 0.4, 50_000
+#: Terms in fewer documents than this tell nothing; at most MOST_TERMS terms, the most frequent, are weighed:
+#: a term's vector takes 256 bytes of what is sent everywhere. Corpora with more terms lose the rarest.
+MIN_DOCUMENTS, MAX_SHARE, MOST_TERMS = 5, 0.4, 262_144
 RANK, PASSES, ROUNDS = 64, 6, 4
 #: Margin between the two best cosines from which a document is clearly of its area, and margin times
 #: discriminating part from which a term is of its area.
@@ -176,7 +177,7 @@ def fit_subjects(parsed: DataFrame, labels: DataFrame, areas: list[tuple[str, st
     spark = parsed.sparkSession
     n = parsed.count()
     frequent = parsed.select(F.explode(F.array_distinct(F.flatten("terms"))).alias("term")).groupBy("term").count()
-    frequent = frequent.filter((F.col("count") >= min(MIN_DOCUMENTS, max(1, n // 50))) & (F.col("count") <= max(2, MAX_SHARE * n)))
+    frequent = frequent.filter((F.col("count") >= MIN_DOCUMENTS) & (F.col("count") <= max(2, MAX_SHARE * n)))
     vocabulary = frequent.orderBy(F.desc("count"), "term").limit(MOST_TERMS).collect()
     index = {r.term: k for k, r in enumerate(vocabulary)}
     idf = np.log(max(n, 2) / np.array([r["count"] for r in vocabulary] or [1], np.float64)).astype(np.float32)
@@ -315,7 +316,7 @@ def assign_subjects(documents: DataFrame, labels: DataFrame, areas: list[tuple[s
 
 
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    areas = [(r.area, r.description) for r in table(spark, sf_dir, "subject_areas").orderBy("area").limit(1024).collect()]
+    areas = [(r.area, r.description) for r in sorted(bounded_rows(table(spark, sf_dir, "subject_areas"), 1024, "areas"))]
     return assign_subjects(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_labels"), areas)
 
 

@@ -29,7 +29,7 @@ WORD_PATTERN = (
 #: Buckets of the literal maps, so that a look-up passes a few entries only.
 BUCKETS = 8192
 #: Frequent words whose ids travel as a literal; all others are joined.
-HEAD_WORDS = 16384
+HEAD_WORDS, HEAD_LINES = 16384, 256
 #: Longer words take a merge queue instead of the fold, whose time is quadratic.
 FOLD_BYTES = 128
 
@@ -146,9 +146,11 @@ def encode_corpus(documents: DataFrame, vocabulary: str | None = None) -> DataFr
     """
     docs = documents.select("doc_id", "text")
     words = word_table(docs, vocabulary or vocabulary_path())
-    # A literal of at most HEAD_WORDS words of at most 64 bytes.
-    common = words.filter(F.octet_length("word") <= 64).orderBy(F.desc("n"), "word").limit(HEAD_WORDS)
-    head = [(r.word, list(r.ids)) for r in common.select("word", "ids").collect()]
+    # A literal of at most HEAD_WORDS words of at most 64 bytes and of HEAD_LINES longer ones, such as ruled lines.
+    size = F.octet_length("word")
+    common = words.filter(size <= 64).orderBy(F.desc("n"), "word").limit(HEAD_WORDS)
+    ruled = words.filter((size > 64) & (size <= 4096) & (F.col("n") > 1)).orderBy(F.desc("n"), "word").limit(HEAD_LINES)
+    head = [(r.word, list(r.ids)) for r in common.unionByName(ruled).select("word", "ids").collect()]
     literal = _literal_map(head, "array<int>")
     # The literal takes part in one written step only: all else goes on from ids and the words they lack.
     known = docs.select("doc_id", F.xxhash64("text").alias("h"), F.coalesce(F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0)), F.array()).alias("words"))
