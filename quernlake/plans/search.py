@@ -273,7 +273,9 @@ def context_pack_truncate(spark: SparkSession, d: str) -> DataFrame:
     return rank.pack_truncated(items, 3000).select("query_id", "doc_id", "rank", "kept", "state")
 
 
-@R.query()
+@R.query(_ARMS.replace("WITH", "WITH RECURSIVE", 1) + """, items AS (SELECT query_id, rank, doc_id, CAST(length(text) AS BIGINT) AS len FROM bm25 JOIN documents USING (doc_id) WHERE rank <= 20),
+ pack AS (SELECT DISTINCT query_id, CAST(0 AS BIGINT) AS rank, CAST(0 AS BIGINT) AS used, CAST([] AS BIGINT[]) AS ids FROM items UNION ALL SELECT p.query_id, i.rank, CASE WHEN used + len <= 3000 THEN used + len ELSE used END, CASE WHEN used + len <= 3000 THEN list_append(ids, i.doc_id) ELSE ids END FROM pack p JOIN items i ON i.query_id = p.query_id AND i.rank = p.rank + 1)
+ SELECT query_id, CAST(unnest(range(0, len(ids))) AS BIGINT) AS position, unnest(ids) AS doc_id, used FROM pack QUALIFY rank = max(rank) OVER (PARTITION BY query_id)""")
 def context_pack_skip(spark: SparkSession, d: str) -> DataFrame:
     """context of a fixed size, passing over what doesn't fit."""
     items = _bm25(spark, d, 20).join(table(spark, d, "documents").select("doc_id", F.length("text").alias("length")), "doc_id")
