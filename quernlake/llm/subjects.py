@@ -35,8 +35,8 @@ _WORD = re.compile(r"[A-Za-z][A-Za-z-]*|[가-힣]+")
 _PARTICLES = sorted(
     "은 는 이 가 을 를 의 에 에서 로 으로 과 와 도 만 부터 까지 보다 라고 이라고 랑 이랑 에는 에게 처럼 마다 이나 나 라는 이라는 과의 와의 로는 으로는".split(), key=len, reverse=True
 )
-#: Terms in fewer documents than this tell nothing; at most MOST_TERMS terms, the most frequent, are weighed:
-#: a term's vector takes 256 bytes of what is sent everywhere. Corpora with more terms lose the rarest.
+#: Terms in fewer documents than this tell nothing. The MOST_TERMS most frequent, whose vectors of 256 bytes
+#: are sent everywhere, fit the decomposition; all others are folded in by joins.
 MIN_DOCUMENTS, MAX_SHARE, MOST_TERMS = 5, 0.4, 262_144
 RANK, PASSES, ROUNDS = 64, 6, 4
 #: Margin between the two best cosines from which a document is clearly of its area, and margin times
@@ -129,6 +129,8 @@ class Subjects:
 
     def __init__(self, areas: list[str], idf: np.ndarray, vectors: np.ndarray, weights: np.ndarray) -> None:
         self.areas, self.idf, self.vectors, self.weights = areas, idf, vectors, weights
+        self.values = np.ones(vectors.shape[1])  # the decomposition's eigenvalues
+        self.rest: DataFrame | None = None  # term, idf of those beyond the vocabulary
         self.centroids = np.zeros((len(areas), vectors.shape[1]))
 
     def directions(self) -> np.ndarray:
@@ -137,13 +139,14 @@ class Subjects:
     def embed(self, at: np.ndarray, ids: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
         return _unit(_sums(self.vectors[ids] * weight[:, None], at, n))
 
-    def topical(self) -> np.ndarray:
+    def topical(self, vectors: np.ndarray | None = None) -> np.ndarray:
         """Whether a term is of an area: near one area only, in dimensions that part the areas."""
+        vectors = self.vectors if vectors is None else vectors
         if len(self.areas) < 2:
-            return np.ones(len(self.vectors), bool)
-        weighted = self.vectors * self.weights
+            return np.ones(len(vectors), bool)
+        weighted = vectors * self.weights
         cosine = np.sort(_unit(weighted) @ self.directions().T, axis=1)
-        part = np.linalg.norm(weighted, axis=1) / (np.linalg.norm(self.vectors, axis=1) + 1e-12)
+        part = np.linalg.norm(weighted, axis=1) / (np.linalg.norm(vectors, axis=1) + 1e-12)
         return (cosine[:, -1] - cosine[:, -2]) * part >= TERM_SCORE
 
 
@@ -180,6 +183,11 @@ def fit_subjects(parsed: DataFrame, labels: DataFrame, areas: list[tuple[str, st
     frequent = frequent.filter((F.col("count") >= MIN_DOCUMENTS) & (F.col("count") <= max(2, MAX_SHARE * n)))
     vocabulary = frequent.orderBy(F.desc("count"), "term").limit(MOST_TERMS).collect()
     index = {r.term: k for k, r in enumerate(vocabulary)}
+    rest = None
+    if len(vocabulary) == MOST_TERMS:
+        last = vocabulary[-1]
+        beyond = (F.col("count") < last["count"]) | ((F.col("count") == last["count"]) & (F.col("term") > last.term))
+        rest = cut(frequent.filter(beyond).select("term", F.log(F.lit(float(max(n, 2))) / F.col("count")).alias("idf")), "subjects-rest")
     idf = np.log(max(n, 2) / np.array([r["count"] for r in vocabulary] or [1], np.float64)).astype(np.float32)
     shared = spark.sparkContext.broadcast(index)
 
@@ -212,10 +220,12 @@ def fit_subjects(parsed: DataFrame, labels: DataFrame, areas: list[tuple[str, st
         held.unpersist()
         if _ < PASSES - 1:
             basis = np.linalg.qr(product)[0].astype(np.float32)
-    _, turn = np.linalg.eigh(basis.T @ product)
+    values, turn = np.linalg.eigh(basis.T @ product)
     vectors = (basis @ turn[:, ::-1]).astype(np.float32)
     names = [a for a, _ in areas]
     model = Subjects(names, idf, vectors, np.ones(rank, np.float32))
+    # Weak dimensions aren't blown up by what is folded in.
+    model.values = np.maximum(values[::-1], max(0.1 * values[-1], 1e-9)) if len(values) else values
     place = {a: k for k, a in enumerate(names)}
     # Seeds: documents labelled with one area.
     single = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min("area").alias("area"), F.max("area").alias("other"), F.count_if(F.col("area").isNull()).alias("none"))
@@ -261,9 +271,45 @@ def fit_subjects(parsed: DataFrame, labels: DataFrame, areas: list[tuple[str, st
         filled = np.abs(found).sum(1) > 0
         model.centroids = model.centroids.copy()
         model.centroids[filled] = _unit(found[filled])
+    model.rest = rest
     return model, coded
 
 
+def fold_in(model: Subjects, parsed: DataFrame, coded: DataFrame) -> DataFrame:
+    """coded with `extra`: of each sentence (s) the sum (w) of its topical terms beyond the vocabulary.
+
+    Such a term's vector is what the decomposition would give it, the weighted sum of its documents'
+    vectors over the eigenvalues; documents and terms meet by joins, and sums are made in the JVM.
+    """
+    rest, model.rest = model.rest, None
+    held, rank = parsed.sparkSession.sparkContext.broadcast(model), model.vectors.shape[1]
+
+    def document_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held.value
+        for part, at, ids, weight in _documents(batches, m.idf):
+            y = _sums(m.vectors[ids] * weight[:, None], at, part.num_rows)
+            norm = np.sqrt(np.maximum(np.bincount(at, m.idf[ids] ** 2, part.num_rows), 1e-12))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(list((y / norm[:, None]).astype(np.float32)), pa.list_(pa.float32()))], names=["doc_id", "y"])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held.value
+        for batch in batches:
+            idf = batch.column("idf").to_numpy()
+            v = np.array(batch.column("v").flatten()).reshape(batch.num_rows, -1) * idf[:, None] / m.values
+            of = np.flatnonzero(m.topical(v)) if batch.num_rows else np.empty(0, int)
+            w = (v * m.weights * idf[:, None])[of].astype(np.float32)
+            yield pa.RecordBatch.from_arrays([batch.column("term").take(pa.array(of)), pa.array(list(w), pa.list_(pa.float32()))], names=["term", "w"])
+
+    each = parsed.select("doc_id", F.posexplode("terms").alias("s", "t")).select("doc_id", "s", F.explode("t").alias("term")).distinct()
+    each = cut(each.join(rest, "term"), "subjects-beyond")
+    of_documents = coded.select("doc_id", "ids").mapInArrow(document_vectors, "doc_id bigint, y array<float>")
+    summed = lambda c: F.array(*(F.sum(F.col(c)[k].cast("double")) for k in range(rank)))
+    vectors = each.select("doc_id", "term", "idf").distinct().join(of_documents, "doc_id").groupBy("term", "idf").agg(summed("y").alias("v"))
+    topical = vectors.mapInArrow(judge, "term string, w array<float>")
+    sentences_of = each.join(topical, "term").groupBy("doc_id", "s").agg(summed("w").alias("w"))
+    return coded.join(sentences_of.groupBy("doc_id").agg(F.collect_list(F.struct("s", "w")).alias("extra")), "doc_id", "left")
+
+
 def assign_subjects(documents: DataFrame, labels: DataFrame, areas: list[tuple[str, str]]) -> DataFrame:
     """The areas that documents are about.
 
@@ -282,6 +328,8 @@ def assign_subjects(documents: DataFrame, labels: DataFrame, areas: list[tuple[s
     if not areas or parsed.isEmpty():
         return spark.createDataFrame([], shape)
     model, coded = fit_subjects(parsed, labels.select("doc_id", "area"), areas)
+    coded = coded.select("doc_id", "sentences", "ids")
+    coded = fold_in(model, parsed, coded) if model.rest is not None else coded.withColumn("extra", F.lit(None).cast("array<struct<s:int,w:array<double>>>"))
     shared = spark.sparkContext.broadcast((model, model.topical(), model.directions()))
 
     def about(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,11 +344,20 @@ def assign_subjects(documents: DataFrame, labels: DataFrame, areas: list[tuple[s
             of = topical[ids]
             sentence, ids = sentence[of], ids[of]
             best = np.full(len(inner), -1)
+            # What terms beyond the vocabulary add to sentences.
+            extra = batch.column("extra")
+            whose = np.repeat(outer.offsets.to_numpy()[:-1] - outer.offsets.to_numpy()[0], np.diff(extra.offsets.to_numpy()))
+            more = whose + extra.flatten().field("s").to_numpy() if len(whose) else np.empty(0, int)
+            added = np.array(extra.flatten().field("w").flatten()).reshape(len(more), directions.shape[1])
             # In slices, by sentence.
             for k in range(0, len(inner), 20_000):
                 lo, hi = np.searchsorted(sentence, [k, k + 20_000])
                 here = np.unique(sentence[lo:hi])
                 total = _sums(weighted[ids[lo:hi]], sentence[lo:hi] - k, min(20_000, len(inner) - k))
+                mine = (more >= k) & (more < k + 20_000)
+                if mine.any():
+                    np.add.at(total, more[mine] - k, added[mine])
+                    here = np.union1d(here, more[mine])
                 best[here] = (total[here - k] @ directions.T).argmax(1)
             doc = np.repeat(np.arange(batch.num_rows), np.diff(outer.offsets.to_numpy()))
             told = best >= 0
@@ -312,7 +369,7 @@ def assign_subjects(documents: DataFrame, labels: DataFrame, areas: list[tuple[s
                 names=["doc_id", "area", "n_sentences", "n_about"],
             )
 
-    return coded.select("doc_id", "sentences").mapInArrow(about, shape).groupBy("doc_id", "area").agg(F.max("n_sentences").alias("n_sentences"), F.max("n_about").alias("n_about"))
+    return coded.select("doc_id", "sentences", "extra").mapInArrow(about, shape).groupBy("doc_id", "area").agg(F.max("n_sentences").alias("n_sentences"), F.max("n_about").alias("n_about"))
 
 
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -373,7 +373,7 @@ def test_mix_reaches_shares(spark, monkeypatch):
 # Subjects
 
 
-def test_subjects_on_held_out_labels(spark):
+def test_subjects_on_held_out_labels(spark, monkeypatch):
     rng = random.Random(8)
     words = {a: [f"{a}{c}{v}" for c in "bdgkmn" for v in ("ara", "oro", "ulu")] for a in ("law", "sport", "code")}
     filler = ["This paragraph is a draft.", "More on this in the next note.", "I cut a few lines."]
@@ -394,6 +394,12 @@ def test_subjects_on_held_out_labels(spark):
     held = [n for n in range(900) if n % 4]
     assert sum(got.get(n) == truth[n] for n in held) / len(held) > 0.97
     assert not {1000, 1001, 1002, 1003} & set(got)
+    # Terms beyond the vocabulary are folded in: with half of them there are as many right.
+    monkeypatch.setattr(subjects, "MOST_TERMS", 40)
+    again = {}
+    for r in subjects.assign_subjects(df, lab, [(a, a) for a in words]).collect():
+        again.setdefault(r.doc_id, set()).add(r.area)
+    assert sum(again.get(n) == truth[n] for n in held) / len(held) > 0.9
     assert subjects.assign_subjects(df.limit(0), lab, [("law", "law")]).count() == 0
     assert subjects.assign_subjects(df, lab, []).count() == 0
 
