@@ -6,11 +6,12 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 from pyspark.sql import functions as F
 
 from quernlake.functions.text import shares_window
 from quernlake.operators import chunking, graph, lexical
-from quernlake.plans import activity, further, search
+from quernlake.plans import activity, details, further, search
 from quernlake.plans import graph as plans
 
 
@@ -97,3 +98,12 @@ def test_lsh_finds_what_exact_search_finds(spark, data):
     assert {r.query_id for r in got} == {q for q, _ in exact} and max(r["rank"] for r in got) == 10
     assert len(exact & {(r.query_id, r.id) for r in got}) >= 0.9 * len(exact)
     print(len(exact & {(r.query_id, r.id) for r in got}), len(exact), len(got))
+
+
+def test_bounds_of_verdicts_are_floats(spark, tmp_path):
+    rows = [(n, "r", c) for n, c in enumerate([0.7, 0.7, 0.69, 0.4, 0.39, 0.0, 1.0, None, float("nan")])] + [(20, None, 0.7), (20, None, 0.7)]
+    spark.createDataFrame(rows, "id int, extraction_run string, confidence float").write.parquet(f"{tmp_path}/edges.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW edges AS SELECT * FROM '{tmp_path}/edges.parquet/*.parquet'")
+    expected = con.execute(details.SQL["verdict_score"]).fetchall()
+    assert {tuple(r) for r in details.verdict_score(spark, str(tmp_path)).collect()} == set(expected) == {("r", 0.625, 0.25), (None, 1.0, 0.0)}
