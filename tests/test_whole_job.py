@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quernlake.functions.text import shares_window
 from quernlake.operators import chunking, graph, lexical
-from quernlake.plans import activity, details, further, search
+from quernlake.plans import activity, details, further, retrieval, search
 from quernlake.plans import graph as plans
 
 
@@ -107,3 +107,15 @@ def test_bounds_of_verdicts_are_floats(spark, tmp_path):
     con.execute(f"CREATE VIEW edges AS SELECT * FROM '{tmp_path}/edges.parquet/*.parquet'")
     expected = con.execute(details.SQL["verdict_score"]).fetchall()
     assert {tuple(r) for r in details.verdict_score(spark, str(tmp_path)).collect()} == set(expected) == {("r", 0.625, 0.25), (None, 1.0, 0.0)}
+
+
+def test_paths_past_nodes_without_numbers(spark, tmp_path):
+    ends = [("p50", "t1"), ("unknown", "t1"), ("p7", "t1"), ("p7", "lost"), ("p8", "lost"), ("p100", "unknown"), ("", "unknown"), ("p0", "t9"), ("p8", "t9"), ("p10", "t9"), ("p5", " "), (None, "t1"), ("p50", None)]
+    spark.createDataFrame([(n, s, "USES", o) for n, (s, o) in enumerate(ends)], "id int, subject string, predicate string, object string").write.parquet(f"{tmp_path}/edges.parquet")
+    spark.createDataFrame([(i, "project", i) for i in ("p0", "p5", "p7", "p8", "p10", "p50", "p50", "p100", "p150")], "entity_id string, entity_type string, label string").write.parquet(f"{tmp_path}/entities.parquet")
+    con = duckdb.connect()
+    for t in ("edges", "entities"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    expected = con.execute(retrieval.SQL["project_paths"]).fetchall()
+    got = [tuple(r) for r in retrieval.project_paths(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(expected) and {r[0] for r in got} == {"p0", "p50", "p100"} and {r[2] for r in got} == {1, 2}
