@@ -53,8 +53,7 @@ def _bm25(spark: SparkSession, d: str, k: int = 10, **options) -> DataFrame:
 def bm25_titles(spark: SparkSession, d: str) -> DataFrame:
     """Every title whose document's id is divisible by 50 is a query."""
     titles = _docs(spark, d).filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("title").alias("text"))
-    scored = lexical.bm25(_docs(spark, d), titles)
-    return rank.top_k(scored, ["query_id"], [F.desc("score"), F.col("doc_id")], 10, "doc_id").select("query_id", "doc_id", "score", "rank")
+    return lexical.bm25_top(_docs(spark, d), titles, 10)
 
 
 @R.query(_bm25_sql(1.2, 0.75) + "SELECT query_id, doc_id, score, rank FROM bm25 WHERE rank <= 10")

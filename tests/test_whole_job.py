@@ -10,7 +10,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from quernlake.functions.text import shares_window
-from quernlake.operators import chunking, graph, lexical
+from quernlake.operators import chunking, graph, lexical, ranking
 from quernlake.plans import activity, details, further, retrieval, search
 from quernlake.plans import graph as plans
 
@@ -119,3 +119,41 @@ def test_paths_past_nodes_without_numbers(spark, tmp_path):
     expected = con.execute(retrieval.SQL["project_paths"]).fetchall()
     got = [tuple(r) for r in retrieval.project_paths(spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(expected) and {r[0] for r in got} == {"p0", "p50", "p100"} and {r[2] for r in got} == {1, 2}
+
+
+def test_best_documents_of_many_queries(spark, monkeypatch):
+    rng = random.Random(5)
+    text = lambda n: " ".join(rng.choices([f"w{int(k ** 1.5)}" for k in range(60)], [1 / (k + 1) for k in range(60)], k=n))
+    texts = [None if n % 17 == 0 else "" if n % 19 == 0 else text(rng.randrange(1, 40)) for n in range(500)]
+    docs = spark.createDataFrame([(n, t) for n, t in enumerate(texts + texts[:200])], "doc_id bigint, text string").repartition(9)
+    asked = [(n, t) for n, t in enumerate([text(rng.randrange(1, 9)) for _ in range(120)] + ["w0", "W0 w0", "nowhere", "nowhere w3", "", None, *[t for t in texts[:40]]])]
+    queries = spark.createDataFrame([*asked, (7, "w1 w999")], "query_id int, text string")
+    every = lambda df: sorted(tuple(r) for r in df.select("query_id", F.coalesce("doc_id", F.lit(-1)), "rank", F.round("score", 5)).collect())
+    by_pairs = lambda docs: every(ranking.top_k(lexical.bm25(docs, queries), ["query_id"], [F.desc("score"), F.col("doc_id")], 4, "doc_id"))
+    expected = by_pairs(docs)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 13)
+    try:
+        assert every(lexical.bm25_top(docs, queries, 4)) == expected
+        again = docs.unionByName(spark.createDataFrame([(3, "w0 w1"), (3, texts[3]), (None, "w0")], "doc_id bigint, text string"))
+        assert every(lexical.bm25_top(again, queries, 4)) == by_pairs(again)
+        monkeypatch.setattr(lexical, "MOST_TERMS", 90)
+        assert every(lexical.bm25_top(docs, queries, 4)) == expected
+        none = docs.filter("false")
+        assert every(lexical.bm25_top(none, queries, 4)) == every(lexical.bm25_top(docs, queries.filter("false"), 4)) == []
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+def test_titles_are_answered_without_exchanging_pairs(spark, tmp_path):
+    rows = [(50 * n, f"common w{n % 7} x{n}", "s", f"common w{n % 5}") for n in range(600)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string, title string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def written() -> int:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(n).shuffleWriteRecords() for n in range(stages.size()))
+
+    before = written()
+    assert search.bm25_titles(spark, str(tmp_path)).count() == 600 * 10
+    assert written() - before < 600 * 600 / 5
